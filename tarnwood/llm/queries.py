@@ -113,7 +113,7 @@ SELECT doc_id, ranked.source, CAST(pass AS INTEGER) AS pass, ranked.block, token
 
 _LINES_SQL = """
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND text <> ''),
-c AS (SELECT *, list_transform(l, x -> length(x)) AS n FROM d),
+c AS (SELECT *, list_transform(l, lambda x: length(x)) AS n FROM d),
 h AS (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) AS h),
 w AS (SELECT doc_id, h, unnest(range(1, len(l) - h + 2)) AS p FROM c, h WHERE len(l) >= h),
 v AS (SELECT w.doc_id, w.h, p, l[p:p + w.h - 1] AS win FROM w JOIN c USING (doc_id)
