@@ -19,6 +19,7 @@ from .. import __version__
 from ..functions.params import RankParams
 from ..functions.scoring import idf_weight, tf_absent, tf_weight
 from ..functions.text import DEFAULT_PATTERN, drop_stopwords, fill_empty, split_terms, tokenize
+from .staging import staged
 
 BUCKETS = 64
 
@@ -71,6 +72,8 @@ class Index:
     stats: DataFrame
     analysis: dict
     buckets: int | None = None
+    #: (term, doc_id, tf), where postings are still to be computed from it
+    tf: DataFrame | None = None
 
     @property
     def n_docs(self) -> int:
@@ -84,14 +87,15 @@ class Index:
 
     def rescore(self, params: RankParams) -> Index:
         """The same postings under other parameters."""
+        tf = self.postings.select("term", "doc_id", "tf") if self.tf is None else self.tf
         vocab = vocabulary(self.vocab.select("term", "df"), self.stats, params)
-        postings = score_postings(self.postings.select("term", "doc_id", "tf"), self.docs.select("doc_id", "dl"), vocab, self.stats, params)
-        return replace(self, params=params, vocab=vocab, postings=postings, buckets=None)
+        postings = score_postings(tf, self.docs.select("doc_id", "dl"), vocab, self.stats, params)
+        return replace(self, params=params, vocab=vocab, postings=postings, buckets=None, tf=tf)
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
         """With more documents (of new ids): frequencies and lengths change, so all scores are derived anew from tf."""
         new = tokenize(docs, text_col, id_col, **self.analysis)
-        tf = self.postings.select("term", "doc_id", "tf").unionByName(term_frequencies(new))
+        tf = (self.postings.select("term", "doc_id", "tf") if self.tf is None else self.tf).unionByName(term_frequencies(new))
         payload = docs.withColumnRenamed(id_col, "doc_id").join(document_lengths(new), "doc_id", "left")
         return index_terms(tf, self.docs.unionByName(payload, allowMissingColumns=True), self.params, self.analysis)
 
@@ -101,12 +105,23 @@ class Index:
         return self.vocab.select("term", (end - F.col("df")).alias("start"), end.alias("stop"))
 
     def save(self, path: str) -> None:
-        """Writes postings, vocab, docs and params; overwrites."""
-        clustered = self.postings.withColumn("term_bucket", bucket_of(F.col("term"))).repartition("term_bucket")
+        """Writes postings, vocab, docs and params; overwrites.
+
+        Texts are tokenised twice only, for the lengths and for the frequencies; both are staged, and
+        all else is computed from them. ``path`` must not be where this index was loaded from.
+        """
+        if self.tf is not None:
+            tf, lengths = staged(self.tf, "tf"), staged(self.docs.select("doc_id", "dl"), "lengths")
+            fresh = index_terms(tf, lengths, self.params)
+            vocab, row = staged(fresh.vocab, "vocab"), fresh.stats.first()
+            stats = tf.sparkSession.createDataFrame([tuple(row)], fresh.stats.schema)
+            postings = score_postings(tf, lengths, vocab, stats, self.params)
+        else:
+            postings, vocab, row = self.postings.drop("term_bucket"), self.vocab, self.stats.first()
+        clustered = postings.withColumn("term_bucket", bucket_of(F.col("term"))).repartition("term_bucket")
         clustered.sortWithinPartitions("term_bucket", "term", "doc_id").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
-        self.vocab.sort("term").write.mode("overwrite").parquet(f"{path}/vocab")
+        vocab.sort("term").write.mode("overwrite").parquet(f"{path}/vocab")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        row = self.stats.first()
         meta = {"version": __version__, "params": self.params.to_dict(), "analysis": self.analysis, "buckets": BUCKETS} | row.asDict()
         self.docs.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
 
@@ -123,7 +138,7 @@ def index_terms(tf: DataFrame, docs: DataFrame, params: RankParams, analysis: di
     """An index from tf(term, doc_id, tf) and docs(doc_id, dl, payload)."""
     stats = corpus_stats(docs)
     vocab = vocabulary(document_frequencies(tf), stats, params)
-    return Index(params, docs, score_postings(tf, docs.select("doc_id", "dl"), vocab, stats, params), vocab, stats, analysis or {})
+    return Index(params, docs, score_postings(tf, docs.select("doc_id", "dl"), vocab, stats, params), vocab, stats, analysis or {}, tf=tf)
 
 
 def build_index(docs: DataFrame, params: RankParams | None = None, id_col: str = "doc_id", text_col: str = "text", payload: bool = True, **analysis: object) -> Index:

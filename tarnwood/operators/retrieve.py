@@ -2,7 +2,8 @@
 
 The batch's terms are the small side: their distinct values are collected, up to
 ``TERM_LIMIT``, and pushed into the scan of the postings as bucket and term filters, and
-the query side is broadcast; beyond the limit the join is left to the planner. Partial
+the query side is broadcast up to ``ROW_LIMIT`` rows; beyond the limits the join is left
+to the planner. Partial
 sums by (query, document) precede the only large shuffle, and the top k are taken by a
 ranked window that keeps k rows a partition before it sorts.
 """
@@ -16,6 +17,10 @@ from ..functions.text import tokenize
 from .index import Index, bucket_of
 
 TERM_LIMIT = 20_000
+#: rows (query, term) up to which the query side is broadcast
+ROW_LIMIT = 200_000
+#: scores are rounded so that equal ones tie whatever the order of their summation
+DIGITS = 9
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -42,8 +47,9 @@ def _pruned(index: Index, qtf: DataFrame) -> tuple[DataFrame, DataFrame]:
         joined = qtf.withColumn("term_bucket", bucket_of(F.col("term"), index.buckets))
         return postings.join(joined.select("term_bucket", "term").distinct(), ["term_bucket", "term"], "left_semi").select("term", "doc_id", "score"), qtf
     spark = qtf.sparkSession
+    small = qtf.limit(ROW_LIMIT + 1).count() <= ROW_LIMIT
     at = [r.b for r in spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term"), index.buckets).alias("b")).distinct().collect()]
-    return postings.where(F.col("term_bucket").isin(at) & F.col("term").isin(terms)).select("term", "doc_id", "score"), F.broadcast(qtf)
+    return postings.where(F.col("term_bucket").isin(at) & F.col("term").isin(terms)).select("term", "doc_id", "score"), (F.broadcast(qtf) if small else qtf)
 
 
 def hits(index: Index, qtf: DataFrame) -> DataFrame:
@@ -55,14 +61,14 @@ def hits(index: Index, qtf: DataFrame) -> DataFrame:
 def _weighted(scored: DataFrame, const: DataFrame | None, mask: DataFrame | None, mask_mode: str) -> DataFrame:
     """Applies mask and constant to (query_id, doc_id, score, ...)."""
     if const is not None:
-        scored = scored.join(F.broadcast(const), "query_id", "left")
+        scored = scored.join(const, "query_id", "left")
     c = F.coalesce(F.col("const"), F.lit(0.0)) if const is not None else F.lit(0.0)
     w = F.lit(1.0)
     if mask is not None:
         scored = scored.join(mask.select("doc_id", F.col("weight").cast("double").alias("weight")), "doc_id", "left")
         w = F.coalesce(F.col("weight"), F.lit(1.0))
     total = (F.col("score") + c) * w if mask_mode == "post" else F.col("score") * w + c
-    return scored.withColumn("total", total).withColumn("part", F.col("score") * w)
+    return scored.withColumn("total", F.round(total, DIGITS)).withColumn("part", F.round(F.col("score") * w, DIGITS))
 
 
 def check_mask(index: Index, mask: DataFrame) -> None:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.params import RankParams
 from ..functions.text import tokenize
-from ..operators.index import Index, term_frequencies
+from ..operators.index import Index, index_terms, term_frequencies
 from ..operators.retrieve import analyse_queries, retrieve
+from ..operators.staging import fresh_path
 
 
 def read_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -43,6 +45,8 @@ def stream_term_counts(docs: DataFrame, **analysis: object) -> DataFrame:
 def windowed_counts(events: DataFrame, time_col: str, key_col: str, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """(start, end, key, n): counts by event-time window; rows later than the watermark are dropped."""
     w = F.window(time_col, window, slide) if slide else F.window(time_col, window)
+    # Parquet may bring timestamps without a zone, which can't be event times: they are read in the session's
+    events = events.withColumn(time_col, F.col(time_col).cast("timestamp"))
     counted = events.withWatermark(time_col, late).groupBy(w.alias("w"), F.col(key_col).alias("key")).agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "key", "n")
 
@@ -63,6 +67,11 @@ def ingest(docs: DataFrame, path: str, checkpoint: str, **analysis: object) -> S
     return docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def open_ingested(spark: SparkSession, path: str, params: RankParams | None = None, **analysis: object) -> Index:
+    """The index of all that :func:`ingest` has written."""
+    return index_terms(spark.read.parquet(f"{path}/tf").drop("batch"), spark.read.parquet(f"{path}/docs").drop("batch"), params or RankParams(), analysis)
+
+
 def answer(index: Index, queries: DataFrame, sink: Callable[[DataFrame, int], None], k: int = 10, checkpoint: str | None = None) -> StreamingQuery:
     """Answers a stream of queries(query_id, text) against an index, batch by batch."""
 
@@ -73,8 +82,16 @@ def answer(index: Index, queries: DataFrame, sink: Callable[[DataFrame, int], No
     return (out.option("checkpointLocation", checkpoint) if checkpoint else out).start()
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and returns its result as a table (for tests and small checks)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drain(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now and returns its result, a table in the shared folder.
+
+    In "append" mode each batch adds its rows; in "complete" mode the last replaces all.
+    """
+    spark, at = stream.sparkSession, fresh_path(stream.sparkSession, what)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(at if mode == "complete" else f"{at}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}-progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(at)
