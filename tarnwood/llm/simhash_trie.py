@@ -12,6 +12,11 @@ kept in one rotation per block, a node pair is pruned as soon as it exceeds its
 share, and, as the first block then allows no difference, the subtrees below it are
 joined only with themselves: a shuffle by (rotation, first block) distributes the join
 with neither node pairs sent to several tasks nor any candidate lost. The join is exact.
+
+Texts of one language share their frequent words, so some unrelated ones come as close as
+copies do, and their number grows with the square of the corpus. Each fingerprint
+therefore carries a second SimHash, of 128 bits over runs of three words, where unrelated
+texts differ in half of the bits; a pair counts only if it is close in that too.
 """
 
 from __future__ import annotations
@@ -28,17 +33,48 @@ from . import kernels
 from .common import checkpointed, text_hash, written
 
 BITS = 64
-
-
-def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash of each text as int64, and its number of words."""
-    out, size = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
+#: differing bits, of 128, up to which a pair is verified: 64 is what unrelated texts have, about 36 what
+#: texts have of whose word pairs two in three are common
+SKETCH_BITS = 42
+
+
+def _majority(h: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The bits that most of the hashes of each group have, groups beginning at edge."""
+    size = np.diff(np.append(edge, len(h)))
+    ones = np.add.reduceat(np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), edge, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
+def _sketch(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the 128 bits of each row that has words; h: hashes of its words, in order."""
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    n = np.diff(np.append(first, len(row)))
+    with np.errstate(over="ignore"):
+        g = h.copy()
+        g[:-2] += h[1:-1] * np.uint64(0x9E3779B97F4A7C15) + h[2:] * np.uint64(0xC2B2AE3D27D4EB4F)
+        g = kernels.mix(g)
+    # a row gives its runs of three words; one of less, its words
+    whole = np.ones(len(h), bool)
+    long = n >= 3
+    whole[(first + n - 1)[long]] = False
+    whole[(first + n - 2)[long]] = False
+    short = np.repeat(~long, n)
+    g[short] = h[short]
+    g = g[whole]
+    edge = np.append(0, np.cumsum(np.where(long, n - 2, n)))[:-1]
+    return _majority(g, edge), _majority(kernels.mix(g ^ np.uint64(0x5851F42D4C957F2D)), edge)
+
+
+def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SimHash of each text as int64, its number of words, and its sketch (two int64 a row)."""
+    out, size, sketch = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), np.zeros((len(texts), 2), np.uint64)
     for first, data, offsets in kernels.chunks(texts, lower=True):
         starts, ends = kernels.runs(kernels.WORD[data], offsets)
         if not len(starts):
             continue
         h = kernels.spans_hash(data, starts, ends)
         row = kernels.rows_of(starts, offsets)
+        sketch[first + row[np.flatnonzero(np.append(True, row[1:] != row[:-1]))]] = np.stack(_sketch(h, row), axis=1)
         order = np.lexsort((h, row))
         h, row = h[order], row[order]
         new = np.ones(len(h), bool)
@@ -54,7 +90,7 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             value |= (np.add.reduceat(np.where(bit, weight, -weight), edge) > 0).astype(np.uint64) << np.uint64(b)
         out[first + ids] = value
         size[first : first + len(offsets) - 1] += np.diff(np.searchsorted(starts, offsets))
-    return out.view(np.int64), size
+    return out.view(np.int64), size, sketch.view(np.int64)
 
 
 def blocks(budget: int) -> list[int]:
@@ -150,11 +186,15 @@ def _first_rotation(diff: np.ndarray, budget: int) -> np.ndarray:
 
 
 def similar_pairs(prints: DataFrame, budget: int) -> DataFrame:
-    """All pairs a < b (unsigned) of the distinct values of prints(fp) within ``budget`` bits: (a, b, distance)."""
+    """All pairs a < b (unsigned) of the distinct values of prints(fp, s1, s2) within ``budget`` bits: (a, b, distance).
+
+    With s1 and s2, the halves of a sketch, only pairs within SKETCH_BITS of each other there. fp must be unique.
+    """
+    sketched = [c for c in ("s1", "s2") if c in prints.columns]
     rotations = _rotations(budget)
     cut = blocks(budget)
     keys = [F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(F.shiftleft("fp", cut[r]).bitwiseOR(F.shiftrightunsigned("fp", 64 - cut[r]) if cut[r] else F.lit(0).cast("bigint")), 64 - (cut[r + 1] - cut[r])).alias("block")) for r in range(len(rotations))]
-    routed = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", F.col("k.r").alias("r"), F.col("k.block").alias("block"))
+    routed = prints.select("fp", *sketched, F.explode(F.array(*keys)).alias("k")).select("fp", *sketched, F.col("k.r").alias("r"), F.col("k.block").alias("block"))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
@@ -163,10 +203,15 @@ def similar_pairs(prints: DataFrame, budget: int) -> DataFrame:
         own = pd.concat(rows)
         for r, part in own.groupby("r"):
             turn, allowed = rotations[r]
-            values = np.sort(rotate(part.fp.to_numpy(np.int64).view(np.uint64), turn))
+            values = rotate(part.fp.to_numpy(np.int64).view(np.uint64), turn)
+            order = np.argsort(values)
+            values = values[order]
             head = values >> np.uint64(BITS - (cut[r + 1] - cut[r]))
             group = np.append(np.flatnonzero(np.append(True, head[1:] != head[:-1])), len(values))
             i, j = trie_self_join(values, allowed, group)
+            if sketched and len(i):
+                apart = sum(np.bitwise_count((x := part[c].to_numpy(np.int64)[order].view(np.uint64))[i] ^ x[j]).astype(np.int16) for c in sketched)
+                i, j = i[apart <= SKETCH_BITS], j[apart <= SKETCH_BITS]
             diff = rotate(values[i] ^ values[j], 64 - turn)
             once = _first_rotation(diff, budget) == r
             a, b = (rotate(values[x[once]], 64 - turn) for x in (i, j))
@@ -196,8 +241,8 @@ def components(edges: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame, budget: int = 8) -> DataFrame:
     """Near-duplicates of docs(doc_id, text): (doc_id, text_key, keep_doc_id, keep_text_key, fingerprint, keep_fingerprint).
 
-    Documents whose fingerprints are linked by steps of at most ``budget`` differing
-    bits form a group; its first document by (doc_id, hash of the text), null ids last,
+    Documents of one fingerprint (the same words as often), or whose fingerprints are linked by steps of at
+    most ``budget`` differing bits that the sketches confirm, form a group; its first document by (doc_id, hash of the text), null ids last,
     stays, and each other document is a row naming the one that stays.
 
     A text without a word, empty or null, resembles nothing. Null ids: compared like
@@ -209,12 +254,13 @@ def duplicates(docs: DataFrame, budget: int = 8) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, size = fingerprints(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fp)], ["doc_id", "text_key", "fp"]).filter(pa.array(size > 0))
+            fp, size, sketch = fingerprints(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fp), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["doc_id", "text_key", "fp", "s1", "s2"]).filter(pa.array(size > 0))
 
-    scanned = slim.select("doc_id", "text", text_hash(F.col("text")).alias("text_key")).mapInArrow(scan, "doc_id bigint, text_key bigint, fp bigint")
+    scanned = slim.select("doc_id", "text", text_hash(F.col("text")).alias("text_key")).mapInArrow(scan, "doc_id bigint, text_key bigint, fp bigint, s1 bigint, s2 bigint")
     prints = written(scanned, "simhash")
-    edges = similar_pairs(prints.select("fp").distinct(), budget)
+    nodes = prints.groupBy("fp").agg(F.min(F.struct("s1", "s2")).alias("s")).select("fp", "s.s1", "s.s2")
+    edges = similar_pairs(nodes, budget)
     roots = components(edges)
     grouped = prints.join(roots, prints.fp == roots.node, "left").select("doc_id", "text_key", "fp", F.coalesce("root", "fp").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "fp")
