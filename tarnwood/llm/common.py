@@ -2,32 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests, a laptop) a local temporary
-    folder is set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    at = spark.sparkContext.getCheckpointDir()
-    if at is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tarnwood-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/tarnwood-{what}-{uuid.uuid4().hex}"
+from ..operators.staging import fresh_path, shared_dir
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -59,5 +37,11 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def rows_keyed(docs: DataFrame) -> DataFrame:
+    """(row, d, k): each row as a struct, its id and text hash, so that no column of docs can clash with a helper."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("row"), F.col("doc_id").cast("bigint").alias("d"), text_hash(F.col("text").cast("string")).alias("k"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_hash, written
+from .common import rows_keyed, text_hash, written
 
 
 def _classes(s: DataFrame, key: list[str]) -> DataFrame:
@@ -94,14 +94,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 24) -> DataFrame:
     so do both of two repeated rows of one id and one text. n_chars, where there is such a
     column, follows the text.
     """
-    columns = docs.columns
-    runs = repeated_runs(docs, min_chars).groupBy(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).agg(F.collect_list(F.struct("start_line", "n_lines")).alias("__runs"))
-    keyed = docs.withColumn("__key", text_hash(F.col("text").cast("string")))
-    both = keyed.join(runs, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left")
-    gone = lambda i: F.exists("__runs", lambda r: (i >= r.start_line) & (i < r.start_line + r.n_lines))
-    kept = F.filter(F.split(F.col("text").cast("string"), "\n", -1), lambda x, i: ~gone(i))
-    both = both.withColumn("__kept", F.when(F.col("__runs").isNotNull(), kept)).where("__kept is null or size(__kept) > 0")
-    both = both.withColumn("text", F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col("text").cast("string")))
-    if "n_chars" in columns:
-        both = both.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.char_length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return both.select(*columns)
+    runs = repeated_runs(docs, min_chars).groupBy(F.col("doc_id").alias("rd"), F.col("text_key").alias("rk")).agg(F.collect_list(F.struct("start_line", "n_lines")).alias("runs"))
+    both = rows_keyed(docs).join(runs, F.col("d").eqNullSafe(F.col("rd")) & (F.col("k") == F.col("rk")), "left")
+    gone = lambda i: F.exists("runs", lambda r: (i >= r.start_line) & (i < r.start_line + r.n_lines))
+    text = F.col("row")["text"].cast("string")
+    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~gone(i))
+    both = both.withColumn("kept", F.when(F.col("runs").isNotNull(), kept)).where("kept is null or size(kept) > 0")
+    cut = F.col("kept").isNotNull()
+    text = F.when(cut, F.array_join("kept", "\n")).otherwise(text)
+    new = {"text": text, "n_chars": F.when(cut, F.char_length(text).cast("bigint")).otherwise(F.col("row")["n_chars"])}
+    return both.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

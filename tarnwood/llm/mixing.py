@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_hash, written
+from .common import rows_keyed, text_hash, written
 
 STEPS = 60
 
@@ -117,8 +117,8 @@ def mix(
     if not keep:
         return drawn.drop("text_key")
     # repeated rows are alike, so each row's number of uses is that of its key
-    uses = drawn.groupBy("doc_id", "source", "text_key").agg(F.count_distinct("pass").cast("int").alias("__uses"))
-    uses = uses.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("text_key").alias("__k"), "__uses")
-    keyed = docs.withColumn("__key", text_hash(F.col("text").cast("string")))
-    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__key") == F.col("__k"))
-    return keyed.join(uses, on).withColumn("__use", F.explode(F.sequence(F.lit(1), F.col("__uses")))).select(*names)
+    uses = drawn.groupBy("doc_id", "source", "text_key").agg(F.count_distinct("pass").cast("int").alias("uses"))
+    uses = uses.select(F.col("doc_id").alias("ud"), F.col("source").alias("us"), F.col("text_key").alias("uk"), "uses")
+    on = F.col("d").eqNullSafe(F.col("ud")) & F.col("row")["source"].cast("string").eqNullSafe(F.col("us")) & (F.col("k") == F.col("uk"))
+    each = rows_keyed(docs).join(uses, on).withColumn("use", F.explode(F.sequence(F.lit(1), F.col("uses"))))
+    return each.select(*[F.col("row")[c].alias(c) for c in names])

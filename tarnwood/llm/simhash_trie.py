@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import checkpointed, text_hash, written
+from .common import checkpointed, rows_keyed, text_hash, written
 
 BITS = 64
 #: differing bits, of 128, up to which a pair is verified: 64 is what unrelated texts have, about 36 what
@@ -271,6 +271,6 @@ def duplicates(docs: DataFrame, budget: int = 8) -> DataFrame:
 
 def near_dedup(docs: DataFrame, budget: int = 8) -> DataFrame:
     """``docs`` without its near-duplicates, all columns kept. Every row of the document that stays, stays."""
-    gone = duplicates(docs, budget).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"))
-    keyed = docs.withColumn("__key", text_hash(F.col("text").cast("string")))
-    return keyed.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left_anti").drop("__key")
+    gone = duplicates(docs, budget).select(F.col("doc_id").alias("gd"), F.col("text_key").alias("gk"))
+    rest = rows_keyed(docs).join(gone, F.col("d").eqNullSafe(F.col("gd")) & (F.col("k") == F.col("gk")), "left_anti")
+    return rest.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,0 +1,186 @@
+"""Kernels and models against plain Python, without Spark."""
+
+import itertools
+import math
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from tarnwood.llm import ctph, e8, kernels, mixing, packing, pii_crf, ppm_langid, simhash_trie
+
+
+def test_spans_hash_depends_on_content_only():
+    data = np.frombuffer(b"abcabc abc", np.uint8)
+    h = kernels.spans_hash(data, np.array([0, 3, 7, 1]), np.array([3, 6, 10, 4]))
+    assert h[0] == h[1] == h[2] != h[3]
+
+
+def test_trie_join_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    near = [x ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 12), replace=False))) for x in base for _ in range(4)]
+    v = np.unique(np.concatenate([base, np.array(near, np.uint64)]))
+    for budget in (0, 3, 8):
+        want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if np.bitwise_count(v[i] ^ v[j]) <= budget}
+        i, j = simhash_trie.trie_self_join(v, np.full(65, budget), np.array([0, len(v)]))
+        assert set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_every_pair_within_budget_has_a_rotation():
+    rng = np.random.default_rng(4)
+    for budget in (1, 3, 8):
+        diff = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, budget + 1), replace=False)) for _ in range(500)], np.uint64)
+        assert (simhash_trie._first_rotation(diff, budget) >= 0).all()
+
+
+def test_simhash_ignores_case_and_marks_but_not_words():
+    fp, size, sketch = simhash_trie.fingerprints(pa.array(["One two, three four", "one TWO three. four", "five six seven eight", None, "", "..."]))
+    assert fp[0] == fp[1] != fp[2] and (sketch[0] == sketch[1]).all()
+    assert size.tolist() == [4, 4, 4, 0, 0, 0]
+    assert np.bitwise_count((sketch[0] ^ sketch[2]).view(np.uint64)).sum() > simhash_trie.SKETCH_BITS
+
+
+def test_e8_decodes_to_the_nearest_point():
+    near = e8.neighbours()
+    assert len(near) == len(np.unique(near, axis=0)) == 240 and ((near**2).sum(1) == 8).all()
+    x = np.random.default_rng(5).uniform(-2, 2, (300, 8))
+    got = e8.decode(x) / 2
+    whole = (got == np.rint(got)).all(1)
+    assert (whole | (got - 0.5 == np.rint(got - 0.5)).all(1)).all() and (got.sum(1) % 2 == 0).all()
+    for v in near / 2:
+        assert (((x - got) ** 2).sum(1) <= ((x - got - v) ** 2).sum(1) + 1e-9).all()
+
+
+def _best(tokens, penalty, window):
+    """All ways to cut."""
+    n, best = len(tokens), math.inf
+    for cuts in itertools.product([0, 1], repeat=n - 1):
+        ends = [i + 1 for i, c in enumerate(cuts) if c] + [n]
+        cost, a = 0.0, 0
+        for b in ends:
+            used = sum(tokens[a:b])
+            if used > window:
+                cost = math.inf
+                break
+            cost += window - used + (penalty[b - 1] if b < n else 0)
+            a = b
+        best = min(best, cost)
+    return best
+
+
+def test_packing_is_optimal():
+    r = random.Random(6)
+    for _ in range(60):
+        n = r.randint(1, 10)
+        tokens, penalty = np.array([r.randint(1, 7) for _ in range(n)]), np.array([r.choice([0, 3, 9]) for _ in range(n)])
+        cuts, cost = packing.best_cuts(tokens, penalty, 12)
+        assert cuts[-1] == n and cost == _best(tokens.tolist(), penalty.tolist(), 12)
+
+
+def test_units_cover_the_text():
+    texts = ["One two. Three four five six seven", None, "", "  \n ", "a b\nc", "é ü. ñ"]
+    row, tokens, end, kind = packing.units(pa.array(texts), 3)
+    assert [int(tokens[row == i].sum()) for i in range(6)] == [7, 0, 0, 0, 3, 3]
+    assert [int(end[row == i][-1]) for i in (0, 4, 5)] == [len(texts[i].encode()) for i in (0, 4, 5)]
+    assert kind[row == 0].tolist() == [packing.SENTENCE, packing.PIECE, packing.DOCUMENT]
+
+
+def test_exponent_meets_its_target():
+    tokens = {"a": 1000, "b": 100, "c": 10}
+    a = mixing.solve_exponent(tokens, target_entropy=1.0)
+    assert mixing.entropy(mixing.weights(tokens, a)) >= 1.0 > mixing.entropy(mixing.weights(tokens, a + 1e-4))
+    b = mixing.solve_exponent(tokens, max_repeats=3.0)
+    q = mixing.weights(tokens, b)
+    use = {s: q[s] / tokens[s] for s in tokens}
+    assert abs(max(use.values()) / min(use.values()) - 3.0) < 1e-3
+    assert mixing.solve_exponent({}, None) == 1.0 and mixing.solve_exponent({"a": 5}, None) == 0.0
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_signature_similarity_is_the_edit_distance():
+    r = random.Random(7)
+    a = ["".join(r.choice("ABCD") for _ in range(r.randint(0, 64))) for _ in range(80)]
+    b = ["".join(r.choice("ABCD") for _ in range(r.randint(0, 64))) for _ in range(80)]
+    want = [100 * 2 * _lcs(x, y) // (len(x) + len(y)) if x or y else 0 for x, y in zip(a, b)]
+    assert ctph.similarity(a, b).tolist() == want
+
+
+def test_signature_survives_an_edit():
+    r = random.Random(8)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400))
+    block, one, two = ctph.signatures(pa.array([text, text[:900] + "INSERTED" + text[900:], "", None]))
+    assert block[0] == block[1] > 0 and ctph.similarity([one[0]], [one[1]])[0] > 85
+    assert block[2] == block[3] == 0 and one[2] == "" == two[3]
+
+
+def _slow_bits(model, text):
+    bits, state = np.zeros(len(model.languages)), 0
+    for byte in text.lower().encode():
+        move = state * (model.symbols + 1) + int(model.classes[byte])
+        bits += model.cost[move]
+        state = model.step[move]
+    return bits
+
+
+def test_code_lengths_are_those_of_the_byte_by_byte_coder():
+    samples = {"x": ["the cat and the dog " * 20], "y": ["der hund und die katze " * 20]}
+    m = ppm_langid.train(samples, order=3, max_contexts=400)
+    texts = ["the dog", "", "die katze und " * 60, "zzz é", None]
+    bits, size = m.code_lengths(pa.array(texts))
+    for t, b in zip(texts, bits):
+        assert np.allclose(b, _slow_bits(m, t or ""), rtol=1e-4)
+    assert size.tolist() == [len((t or "").encode()) for t in texts]
+
+
+def test_each_context_is_a_distribution():
+    m = ppm_langid.train({"x": ["abracadabra abrakadabra " * 9], "y": ["simsalabim " * 9]}, order=3, max_contexts=300)
+    p = 2.0 ** -m.cost.reshape(-1, m.symbols + 1, 2)[:, : m.symbols, :].astype(float)
+    p[:, -1, :] *= 256 - (m.symbols - 1)  # the last class is all bytes that no sample has
+    assert np.allclose(p.sum(1), 1, atol=1e-4)
+
+
+def test_semi_markov_decoding_is_the_best_segmentation():
+    model = pii_crf.load()
+    text = "call +1 (555) 123-4567 or 4111 1111"
+    tokens = [m.span() for m in pii_crf.TOKEN.finditer(text)]
+    seg = model.segments(pii_crf.lattice(text, tokens))
+    best = -math.inf
+
+    def walk(j, prev, total):
+        nonlocal best
+        if j == len(tokens):
+            best = max(best, total)
+            return
+        for e in range(j + 1, len(tokens) + 1):
+            for i, scores in seg[e - 1]:
+                if i == j:
+                    for k, v in scores:
+                        walk(e, k, total + v + (model.w.get(f"{pii_crf.TYPES[prev]}>{pii_crf.TYPES[k]}", 0.0) if prev is not None else 0.0))
+
+    walk(0, None, 0.0)
+    found = model.decode(text, tokens)
+    got, prev, at = 0.0, None, 0
+    plan = {i: (j, k) for i, j, k, _ in found}
+    while at < len(tokens):
+        j, k = plan.get(at, (at + 1, 0))
+        got += next(v for i, s in seg[j - 1] if i == at for q, v in s if q == k) + (model.w.get(f"{pii_crf.TYPES[prev]}>{pii_crf.TYPES[k]}", 0.0) if prev is not None else 0.0)
+        prev, at = k, j
+    assert abs(got - best) < 1e-6
+
+
+def test_held_out_entities_are_found():
+    model, right, found, marked = pii_crf.load(), 0, 0, 0
+    for text, marks in pii_crf.made_sentences(300, seed=99):
+        got = {(a, b, k) for a, b, k, _ in pii_crf.find(model, text)}
+        right, found, marked = right + len(got & set(marks)), found + len(got), marked + len(marks)
+    assert right / found > 0.93 and right / marked > 0.93
