@@ -7,7 +7,8 @@ the signature has less than 32. A second signature is made at twice the block si
 that documents whose block sizes differ by a factor of two can be compared.
 
 Signatures are candidates if they share seven neighbouring characters at one block size, and are
-scored by edit distance (insertions and deletions), bit-parallel over all candidates.
+scored by edit distance (insertions and deletions), bit-parallel over all candidates. They
+are scored where they meet, and only the best of each is passed on: no pair is shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
@@ -27,6 +28,9 @@ ROLL = 7
 LONG, SHORT, GRAM = 64, 32, 7
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
+CODE = np.zeros(256, np.uint8)
+CODE[ALPHABET] = np.arange(64)
+
 
 def _rolling(data: np.ndarray) -> np.ndarray:
     """A 32-bit hash of the seven bytes that end at each position."""
@@ -104,35 +108,44 @@ def squeeze(s: str) -> str:
     return "".join(out)
 
 
-def similarity(a: list[str], b: list[str]) -> np.ndarray:
-    """100 * (1 - d / (len(a) + len(b))), rounded down, d: insertions and deletions from a to b.
+class Signs:
+    """Signatures as codes, and for each the places of each code as bits."""
+
+    def __init__(self, signs: list[str]):
+        n = len(signs)
+        self.size = np.array([len(x) for x in signs], np.int64)
+        self.codes = np.full((n, LONG), LONG, np.uint8)  # LONG: no character
+        here = np.arange(LONG)[None, :] < self.size[:, None]
+        self.codes[here] = CODE[np.frombuffer("".join(signs).encode(), np.uint8)]
+        self.places = np.zeros((n, LONG + 1), np.uint64)
+        row, col = np.nonzero(here)
+        np.bitwise_or.at(self.places, (row, self.codes[row, col]), np.uint64(1) << col.astype(np.uint64))
+
 
-    The longest common subsequence of up to 64 characters, a bit a character of a, for
+def alike(x: Signs, y: Signs, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """100 * (1 - d / (a + b)), rounded down, of the pairs x[i], y[j] of a and b characters; d: insertions and deletions from one to the other.
+
+    The longest common subsequence of up to 64 characters, a bit a character of x[i], for
     all pairs at once.
     """
-    if not len(a):
-        return np.zeros(0, np.int64)
-    x = np.zeros((len(a), LONG), np.uint8)
-    y = np.zeros((len(b), LONG), np.uint8)
-    for m, signs in ((x, a), (y, b)):
-        sizes = np.array([len(s) for s in signs])
-        flat = np.frombuffer("".join(signs).encode(), np.uint8)
-        m[np.arange(LONG)[None, :] < sizes[:, None]] = flat
-    la, lb = (x > 0).sum(1), (y > 0).sum(1)
-    v = np.full(len(a), 0xFFFFFFFFFFFFFFFF, np.uint64)
-    bit = np.uint64(1) << np.arange(LONG, dtype=np.uint64)
+    v = np.full(len(i), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    flat, base = x.places.reshape(-1), i * (LONG + 1)
     with np.errstate(over="ignore"):
-        for j in range(int(lb.max(initial=0))):
-            c = y[:, j]
-            match = np.where((x == c[:, None]) & (c[:, None] > 0), bit, np.uint64(0)).sum(1, dtype=np.uint64)
-            u = v & match
-            v = np.where(c > 0, (v + u) | (v - u), v)
+        for t in range(int(y.size[j].max(initial=0))):
+            u = v & flat[base + y.codes[j, t]]
+            v = (v + u) | (v - u)
+    la, total = x.size[i], x.size[i] + y.size[j]
     mask = np.where(la >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(la, 63).astype(np.uint64)) - np.uint64(1))
     lcs = np.bitwise_count(~v & mask).astype(np.int64)
-    total = la + lb
     return np.where(total > 0, 100 * 2 * lcs // np.maximum(total, 1), 0)
 
 
+def similarity(a: list[str], b: list[str]) -> np.ndarray:
+    """:func:`alike` of a[k] and b[k]."""
+    k = np.arange(len(a))
+    return alike(Signs(a), Signs(b), k, k)
+
+
 def fingerprints(docs: DataFrame, threshold: int = 60) -> DataFrame:
     """(doc_id, block_size, signature, signature2, like_doc_id, score), a row a document.
 
@@ -176,45 +189,57 @@ def fingerprints(docs: DataFrame, threshold: int = 60) -> DataFrame:
 
     shared = nodes.select("node", "block_size", "signature", "signature2").mapInPandas(grams, "g bigint, node bigint")
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # most characters are met once only; signatures go to the few rows that have a partner
+    own = Window.partitionBy("g")
+    met = shared.withColumn("n", F.count("*").over(own)).where("n > 1").select("g", F.col("node").alias("at"))
+    full = met.join(nodes, F.col("at") == F.col("node")).select("g", "node", "first_doc", "block_size", "signature", "signature2")
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if not parts:
             return
-        g, node = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("g", "node"))
-        order = np.lexsort((node, g))
-        g, node = g[order], node[order]
-        keep = np.append(True, (g[1:] != g[:-1]) | (node[1:] != node[:-1]))
-        g, node = g[keep], node[keep]
-        head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        size = np.diff(np.append(head, len(g)))
-        left = (np.repeat(head + size, size) - 1 - np.arange(len(g)))  # members of its group after each
-        done = 0
+        rows = pd.concat(parts, ignore_index=True)
+        parts.clear()
+        names, first, of = np.unique(rows.node.to_numpy(np.int64), return_index=True, return_inverse=True)
+        head = rows.iloc[first]
+        block = head.block_size.to_numpy(np.int64)
+        null = head.first_doc.isna().to_numpy()
+        doc = head.first_doc.fillna(0).to_numpy(np.int64)
+        rank = np.lexsort((doc, null)).argsort()  # by id, null last
+        one, two = (Signs([squeeze(x) for x in head[c]]) for c in ("signature", "signature2"))
+        g = rows.g.to_numpy(np.int64)
+        order = np.lexsort((of, g))
+        g, member = g[order], of[order]
+        del rows
+        starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        size = np.diff(np.append(starts, len(g)))
+        left = np.repeat(starts + size, size) - 1 - np.arange(len(g))  # members of its group after each
         total = np.cumsum(left)
+        best = np.zeros(len(names), np.int64)
+        done = 0
         while done < len(g):  # in pieces, to bound memory
-            stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 2_000_000, "right")))
-            own = left[done:stop]
-            i = np.repeat(np.arange(done, stop), own)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own)
-            yield pd.DataFrame({"a": node[i], "b": node[j]}).drop_duplicates()
+            stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 250_000, "right")))
+            mine = left[done:stop]
+            i = np.repeat(np.arange(done, stop), mine)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(mine) - mine, mine)
+            code = np.unique(member[i].astype(np.int64) * len(names) + member[j])
+            i, j = code // len(names), code % len(names)
+            value = np.zeros(len(i), np.int64)
+            for ok, x, y in ((block[i] == block[j], one, one), (block[i] == block[j], two, two), (block[i] == 2 * block[j], one, two), (block[j] == 2 * block[i], two, one)):
+                w = np.flatnonzero(ok)
+                value[w] = np.maximum(value[w], alike(x, y, i[w], j[w]))
+            w = np.flatnonzero(value >= threshold)
+            # the best score first, then the least id: one number a direction
+            for a, b in ((i[w], j[w]), (j[w], i[w])):
+                key = value[w] * len(names) + (len(names) - 1 - rank[b])
+                np.maximum.at(best, a, key + 1)
             done = stop
+        hit = best > 0
+        key = best[hit] - 1
+        like = np.argsort(rank)[len(names) - 1 - key % len(names)]
+        yield pd.DataFrame({"node": names[hit], "like": pd.Series(pd.array(doc[like], "Int64")).mask(null[like]), "score": key // len(names)})
 
-    pairs = shared.repartition("g").mapInPandas(meet, "a bigint, b bigint").distinct()
-    side = lambda s: nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "first_doc", "block_size", "signature", "signature2")])
-    full = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            best = np.zeros(len(p), np.int64)
-            sig = {c: np.array([squeeze(s) for s in p[c]], object) for c in ("signature_a", "signature2_a", "signature_b", "signature2_b")}
-            ba, bb = p.block_size_a.to_numpy(), p.block_size_b.to_numpy()
-            for ok, x, y in ((ba == bb, "signature_a", "signature_b"), (ba == bb, "signature2_a", "signature2_b"), (ba == 2 * bb, "signature_a", "signature2_b"), (bb == 2 * ba, "signature2_a", "signature_b")):
-                at = np.flatnonzero(ok)
-                if len(at):
-                    best[at] = np.maximum(best[at], similarity(list(sig[x][at]), list(sig[y][at])))
-            yield pd.DataFrame({"a": p.a, "b": p.b, "da": p.first_doc_a, "db": p.first_doc_b, "score": best})[best >= threshold]
-
-    scored = full.mapInPandas(score, "a bigint, b bigint, da bigint, db bigint, score bigint")
-    ways = scored.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("db").alias("like"), "score"), F.struct(F.col("b").alias("node"), F.col("da").alias("like"), "score"))).alias("w")).select("w.*")
+    ways = full.repartition("g").mapInPandas(score, "node bigint, like bigint, score bigint")
     best = ways.groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("like").isNull().alias("n"), F.col("like").alias("like"))).alias("w"))
     best = best.select(F.col("node").alias("n2"), F.col("w.like").alias("like"), (-F.col("w.s")).alias("best"))
     known = nodes.select("node", "first_doc").join(best, F.col("node") == F.col("n2"), "left").select("node", "first_doc", "like", "best")
