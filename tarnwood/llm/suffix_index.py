@@ -34,6 +34,10 @@ from . import kernels
 from .common import drop_path, fresh_path, text_hash, written
 
 
+#: windows that are compared at a time, unless one prefix has more
+SLICE = 400_000
+
+
 def _sliding(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
     """op over x[i:i+w] for each i with a whole window, in linear time."""
     n = len(x)
@@ -202,7 +206,20 @@ def repeated_passages(docs: DataFrame, length: int = 50, gram: int = 8, batches:
         parts = [r for r in rows if len(r)]
         if not parts:
             return
-        own = pd.concat(parts, ignore_index=True)
+        every = pd.concat(parts, ignore_index=True).sort_values("prefix", kind="stable", ignore_index=True)
+        parts.clear()
+        # whole prefixes, a bounded number of windows at a time
+        last = np.append(np.flatnonzero(np.diff(every.prefix.to_numpy(np.int64))), len(every) - 1)
+        total = every.back.map(len).to_numpy().cumsum()
+        at = 0
+        while at < len(every):
+            most = total[at - 1] + SLICE if at else SLICE
+            k = np.searchsorted(total[last], most, "right") - 1
+            stop = max(int(last[max(k, 0)]), int(last[np.searchsorted(last, at)])) + 1
+            yield from shared(every.iloc[at:stop].reset_index(drop=True))
+            at = stop
+
+    def shared(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
         h = np.frombuffer(b"".join(own.windows), np.uint32)
         back = np.frombuffer(b"".join(own.back), np.uint8)
         entry = np.repeat(np.arange(len(own)), own.back.map(len).to_numpy())
