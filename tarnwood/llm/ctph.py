@@ -8,7 +8,7 @@ that documents whose block sizes differ by a factor of two can be compared.
 
 Signatures are candidates if they share seven neighbouring characters at one block size, and are
 scored by edit distance (insertions and deletions), bit-parallel over all candidates. They
-are scored where they meet, and only the best of each is passed on: no pair is shuffled.
+are scored where they meet, and all pairs that reach the threshold are passed on.
 """
 
 from __future__ import annotations
@@ -147,13 +147,16 @@ def similarity(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, threshold: int = 60) -> DataFrame:
-    """(doc_id, block_size, signature, signature2, like_doc_id, score), a row a document.
+    """(doc_id, block_size, signature, signature2, like_doc_id, score, group, partners), a row a document.
 
+    group: documents of one group have the same signature. partners: all other groups that resemble it
+    at ``threshold`` or more, as (group, doc_id of its first document, score), the best first, then by
+    least id. All pairs of documents are thus those within a group and those across it and its partners.
     like_doc_id: the document that resembles it most, by score and then by least id:
     the first document of the same signature, at score 100, or for that first document the first of the
     best other signature of at least ``threshold``; null and score 0 where there is none.
 
-    Null and empty text: block size 0, empty signatures, no likeness. Null ids: answered,
+    Null and empty text: block size 0, empty signatures, no group, no likeness. Null ids: answered,
     after all others in the order of ids; a like_doc_id that is null has a score above 0.
     Repeated rows are answered each, and resemble the first document of their signature; a document isn't compared with itself. Empty table: no rows.
     """
@@ -203,9 +206,7 @@ def fingerprints(docs: DataFrame, threshold: int = 60) -> DataFrame:
         names, first, of = np.unique(rows.node.to_numpy(np.int64), return_index=True, return_inverse=True)
         head = rows.iloc[first]
         block = head.block_size.to_numpy(np.int64)
-        null = head.first_doc.isna().to_numpy()
-        doc = head.first_doc.fillna(0).to_numpy(np.int64)
-        rank = np.lexsort((doc, null)).argsort()  # by id, null last
+        doc = head.first_doc.astype("Int64").array
         one, two = (Signs([squeeze(x) for x in head[c]]) for c in ("signature", "signature2"))
         g = rows.g.to_numpy(np.int64)
         order = np.lexsort((of, g))
@@ -215,7 +216,6 @@ def fingerprints(docs: DataFrame, threshold: int = 60) -> DataFrame:
         size = np.diff(np.append(starts, len(g)))
         left = np.repeat(starts + size, size) - 1 - np.arange(len(g))  # members of its group after each
         total = np.cumsum(left)
-        best = np.zeros(len(names), np.int64)
         done = 0
         while done < len(g):  # in pieces, to bound memory
             stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 250_000, "right")))
@@ -229,20 +229,18 @@ def fingerprints(docs: DataFrame, threshold: int = 60) -> DataFrame:
                 w = np.flatnonzero(ok)
                 value[w] = np.maximum(value[w], alike(x, y, i[w], j[w]))
             w = np.flatnonzero(value >= threshold)
-            # the best score first, then the least id: one number a direction
-            for a, b in ((i[w], j[w]), (j[w], i[w])):
-                key = value[w] * len(names) + (len(names) - 1 - rank[b])
-                np.maximum.at(best, a, key + 1)
+            yield pd.DataFrame({"a": names[i[w]], "b": names[j[w]], "doc_a": doc[i[w]], "doc_b": doc[j[w]], "score": value[w]})
             done = stop
-        hit = best > 0
-        key = best[hit] - 1
-        like = np.argsort(rank)[len(names) - 1 - key % len(names)]
-        yield pd.DataFrame({"node": names[hit], "like": pd.Series(pd.array(doc[like], "Int64")).mask(null[like]), "score": key // len(names)})
-
-    ways = full.repartition("g").mapInPandas(score, "node bigint, like bigint, score bigint")
-    best = ways.groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("like").isNull().alias("n"), F.col("like").alias("like"))).alias("w"))
-    best = best.select(F.col("node").alias("n2"), F.col("w.like").alias("like"), (-F.col("w.s")).alias("best"))
-    known = nodes.select("node", "first_doc").join(best, F.col("node") == F.col("n2"), "left").select("node", "first_doc", "like", "best")
+
+    # a pair meets at each character run that it shares
+    pairs = full.repartition("g").mapInPandas(score, "a bigint, b bigint, doc_a bigint, doc_b bigint, score bigint").dropDuplicates(["a", "b"])
+    other = lambda node, group, doc: F.struct(F.col(node).alias("node"), F.struct((-F.col("score")).alias("s"), F.col(doc).isNull().alias("n"), F.col(doc).alias("like"), F.col(group).alias("group")).alias("w"))
+    sides = pairs.select(F.explode(F.array(other("a", "b", "doc_b"), other("b", "a", "doc_a"))).alias("x")).select("x.node", "x.w")
+    lists = sides.groupBy(F.col("node").alias("n2")).agg(F.sort_array(F.collect_list("w")).alias("ways"))
+    known = nodes.select("node", "first_doc").join(lists, F.col("node") == F.col("n2"), "left").select("node", "first_doc", "ways")
     out = signed.withColumn("k", key).join(known, F.col("k") == F.col("node"), "left")
     later = F.col("node").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_doc"))
-    return out.select("doc_id", "block_size", "signature", "signature2", F.when(later, F.col("first_doc")).otherwise(F.col("like")).alias("like_doc_id"), F.when(later, F.lit(100)).otherwise(F.coalesce("best", F.lit(0))).cast("bigint").alias("score"))
+    best = F.get("ways", F.lit(0))
+    partners = F.transform(F.coalesce("ways", F.array().cast("array<struct<s:bigint,n:boolean,like:bigint,group:bigint>>")), lambda w: F.struct(w["group"].alias("group"), w["like"].alias("doc_id"), (-w["s"]).alias("score")))
+    like, value = F.when(later, F.col("first_doc")).otherwise(best["like"]), F.when(later, F.lit(100)).otherwise(F.coalesce(-best["s"], F.lit(0)))
+    return out.select("doc_id", "block_size", "signature", "signature2", like.alias("like_doc_id"), value.cast("bigint").alias("score"), F.col("node").alias("group"), partners.alias("partners"))

@@ -224,6 +224,41 @@ def test_fingerprints_against_all_pairs(docs):
     assert next(r for r in rows.values() if r.doc_id == 30).score == 100
 
 
+def _scores(sign):
+    """{(a, b): best score} of all pairs of (block_size, signature, signature2) that share seven characters at one block size."""
+    out = {}
+    for a in sign:
+        for b in sign - {a}:
+            both = [(a[1], b[1]), (a[2], b[2])] * (a[0] == b[0]) + [(a[1], b[2])] * (a[0] == 2 * b[0]) + [(a[2], b[1])] * (b[0] == 2 * a[0])
+            both = [(ctph.squeeze(x), ctph.squeeze(y)) for x, y in both]
+            if any({x[i : i + 7] for i in range(len(x) - 6)} & {y[i : i + 7] for i in range(len(y) - 6)} for x, y in both):
+                out[a, b] = max(int(ctph.similarity([x], [y])[0]) for x, y in both)
+    return out
+
+
+def test_fingerprints_give_all_pairs(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8)))
+    rows = []
+    for base in range(2):
+        words = [word() for _ in range(400)]
+        for k in range(6):  # a chain: each differs more from the first
+            rows.append((10 * base + k, " ".join(words)))
+            for _ in range(6):
+                words[r.randrange(400)] = word()
+    rows += [(50, rows[0][1]), (None, rows[1][1] + " and more"), (60, "")]
+    got = ctph.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    sign = {x.group: (x.block_size, x.signature, x.signature2) for x in got if x.group is not None}
+    want = {k: v for k, v in _scores(set(sign.values())).items() if v >= 60}
+    pairs = {(sign[x.group], sign[p.group]): p.score for x in got for p in x.partners}
+    assert pairs == want and max(len(x.partners) for x in got) > 3
+    head = {g: min((x.doc_id is None, x.doc_id or 0) for x in got if x.group == g) for g in sign}
+    assert all((p.doc_id is None, p.doc_id or 0) == head[p.group] for x in got for p in x.partners)
+    of = {x.doc_id: x for x in got}
+    assert of[50].group == of[0].group and of[50].partners == of[0].partners and of[50].like_doc_id == 0
+    assert of[60].group is None and of[60].partners == []
+
+
 def test_merkle(spark):
     rows = [(i, f"u{i}", f"text {i}") for i in range(3000)] + [(None, "n", None), (7, "again", "")]
     a = spark.createDataFrame(rows, "page_id bigint, url string, html string")
