@@ -8,13 +8,14 @@ the forward-backward recursion; decoding finds the best segmentation by dynamic
 programming over ends, segment lengths up to ``MAX_LEN`` and types, so that boundaries and types are
 chosen together.
 
-An entity holds a token with a digit or an @, so all else is outside. Decoding runs over
-the stretches around such tokens, where it is exact, and texts without one never leave
-the JVM. The weights are trained on made sentences by ``train`` and kept in pii_weights.json.
+An entity holds a token with a digit, an @, = or :, a secret's name or an access key, so all else
+is outside. Decoding runs over the stretches around such tokens, where it is exact, and texts
+without one never leave the JVM. The weights are trained on made sentences by ``train`` and kept in pii_weights.json.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
 import random
@@ -31,13 +32,15 @@ TYPES = ["O", "EMAIL", "PHONE", "CARD", "IP", "SECRET", "ID"]
 WEIGHTS = Path(__file__).with_name("pii_weights.json")
 
 TOKEN = re.compile(r"\S+")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER_RE = r"[0-9@=:]|(?i:passw|pwd|secret|token|key)|(AKIA|ASIA)[A-Z]{16}"
+TRIGGER = re.compile(TRIGGER_RE)
 EMAIL = re.compile(r"[\w.+-]+@[\w-]+(\.[\w-]+)+")
 PHONE = re.compile(r"(\+\d{1,3}[ .-]?)?(\(\d{1,5}\)[ .-]?)?\d{2,4}([ .-]\d{2,5}){1,4}")
 LONG = re.compile(r"\d{13,19}|\d{4}([ -]\d{4}){2,3}([ -]\d{1,4})?")
 QUAD = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
 KEY = re.compile(r"[A-Z]{3,5}[A-Z0-9]{14,}")
-NAMED = re.compile(r"(?i)[\w-]*(password|passwd|pwd|secret|token|api_?key|key)[\w-]*\s*[=:]\s*[\"']?[^\s\"']{6,}[\"']?")
+NAMED = re.compile(r"(?i)[\w-]*(password|passwd|pwd|secret|token|api_?key|key)[\w-]*\s*[=:]\s*[\"']?[^\s\"']{6,}[\"']?[^\w\s]*")
+VALUE = re.compile(r"(?i)(.*?)([=:])\s*([\"']?)([^\s\"']+)[\"']?[^\w\s]*")
 BLOB = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 IBAN = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{10,30}")
@@ -73,6 +76,12 @@ def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> t
     for name, pattern in (("email", EMAIL), ("phone", PHONE), ("long", LONG), ("key", KEY), ("named", NAMED), ("blob", BLOB), ("ssn", SSN), ("iban", IBAN), ("date", DATE), ("version", VERSION)):
         if pattern.fullmatch(s):
             f.append(name)
+    if "named" in f:
+        # the name, the sign, quotes and the value tell a secret from "key: word" together
+        name, sign, quote, value = VALUE.fullmatch(s).groups()
+        strong = "password" if re.search(r"(?i)passw|pwd|api_?key|secret_|_token|_key", name) else "name"
+        size = "short" if len(value) < 10 else "long"
+        f.append(f"named:{strong}{sign}{'quoted' if quote else ''}{size}{'digit' if re.search(r'[0-9]', value) else ''}")
     quad = QUAD.fullmatch(s)
     if quad:
         f.append("quad" if all(int(x) < 256 for x in quad.groups()) else "badquad")
@@ -111,22 +120,29 @@ def lattice(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, tu
 class Model:
     def __init__(self, weights: dict[str, float]):
         self.w = weights
+        self.known: dict[tuple[str, ...], list[tuple[int, float]]] = {}
 
     def score(self, kind: int, features: tuple[str, ...]) -> float:
         name = TYPES[kind]
         return sum(self.w.get(f"{name}|{f}", 0.0) for f in features)
 
-    def segments(self, grid) -> list[list[tuple[int, list[tuple[int, float]]]]]:
-        """Scores of the segments: O is of one token; entities need a trigger."""
+    def segments(self, grid, known: dict | None = None) -> list[list[tuple[int, list[tuple[int, float]]]]]:
+        """Scores of the segments: O is of one token; entities need a trigger. known: scores of sets of features met before."""
+        known = {} if known is None else known
         out = []
         for j, row in enumerate(grid, 1):
-            out.append([(i, [(k, self.score(k, f)) for k in range(len(TYPES)) if (k == 0 and j - i == 1) or (k and may)]) for i, f, may in row])
+            ends = []
+            for i, f, may in row:
+                if f not in known:
+                    known[f] = [(k, self.score(k, f)) for k in range(len(TYPES))]
+                ends.append((i, [x for x in known[f] if (x[0] == 0 and j - i == 1) or (x[0] and may)]))
+            out.append(ends)
         return out
 
     def decode(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, float]]:
         """Entities (first token, end token, type, score above outside) of the best segmentation."""
         n, grid = len(tokens), lattice(text, tokens)
-        seg = self.segments(grid)
+        seg = self.segments(grid, self.known)
         out_one = [next(v for i, s in row if i == j - 1 for k, v in s if k == 0) for j, row in enumerate(seg, 1)]
         best = [{-1: (0.0, None)}] + [{} for _ in range(n)]
         for j in range(1, n + 1):
@@ -164,6 +180,13 @@ def made_sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, st
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     hexa = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
 
+    low = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+
+    def undigited() -> list[str]:
+        name = r.choice(["password", "passwd", "PWD", "db_password", "api_key", "apikey", "secret_key", "access_token"])
+        value = r.choice([low(r.randint(6, 9)), low(r.randint(10, 24)), low(r.randint(10, 24))])
+        return [f"{name}={value}", f"{name}: {value}", f'{name} = "{value}"', f"{r.choice(['token', 'secret', 'key'])}{r.choice(['=', ': ', ' = '])}{low(r.randint(12, 28))}", "AKIA" + low(16).upper()]
+
     def entity() -> tuple[str, str]:
         kind = r.choice(TYPES[1:])
         if kind == "EMAIL":
@@ -175,11 +198,11 @@ def made_sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, st
         if kind == "IP":
             return kind, ".".join(str(r.randint(0, 255)) for _ in range(4))
         if kind == "SECRET":
-            return kind, r.choice(["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(14)) + r.choice("234567") + "Q", f"password={hexa(16)}1f", f'token = "{hexa(39)}7"', f"api_key={hexa(18)}9c", f"secret: {hexa(24)}0a"])
+            return kind, r.choice(["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(14)) + r.choice("234567") + "Q", f"password={hexa(16)}1f", f'token = "{hexa(39)}7"', f"api_key={hexa(18)}9c", f"secret: {hexa(24)}0a", *undigited()])
         return kind, r.choice([f"{num(3)}-{num(2)}-{num(4)}", f"{r.choice(['DE', 'FR', 'ES'])}{num(20)}"])
 
     def harmless() -> str:
-        return r.choice([num(r.randint(1, 6)), f"{r.randint(1, 9)}.{r.randint(0, 9)}.", f"{r.randint(1, 3)}.", f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{r.randint(1900, 2030)}", f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", f"${num(3)}.{num(2)}", f"{num(2)}%", f"{num(2)}:{num(2)}", f"{r.randint(1990, 2020)}-{r.randint(1990, 2020)}", f"@{word()}", f"{num(3)},{num(3)}", f"({num(1)})", f"({num(4)})", "COVID-19", f"A{num(1)}", f"{num(1)}th", f"{num(2)} {num(2)}"])
+        return r.choice([num(r.randint(1, 6)), f"{r.randint(1, 9)}.{r.randint(0, 9)}.", f"{r.randint(1, 3)}.", f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{r.randint(1900, 2030)}", f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", f"${num(3)}.{num(2)}", f"{num(2)}%", f"{num(2)}:{num(2)}", f"{r.randint(1990, 2020)}-{r.randint(1990, 2020)}", f"@{word()}", f"{num(3)},{num(3)}", f"({num(1)})", f"({num(4)})", f"{word()}:", f"{word()}: {word()}", f"{word()}={word()}", f"http://{low(6)}.org/{low(5)}", f"https://{low(12)}.example.com/", f"{r.choice(['key', 'secret', 'token', 'password', 'keyboard', 'tokens'])}", f"{r.choice(['key', 'secret', 'token'])}: {low(r.randint(2, 8))}", f"{low(3)}::{low(5)}", low(18).upper(), "COVID-19", f"A{num(1)}", f"{num(1)}th", f"{num(2)} {num(2)}"])
 
     out = []
     for _ in range(n):
@@ -287,30 +310,22 @@ def find(model: Model, text: str) -> list[tuple[int, int, str, float]]:
     """Entities of a text: (start, end, type, score), in characters."""
     if not TRIGGER.search(text):
         return []
-    tokens: list[tuple[int, int]] = []
     out: list[tuple[int, int, str, float]] = []
     # stretches: tokens within MAX_LEN - 1 of a trigger token, and one more on each side for context
-    near = MAX_LEN
+    every = [m.span() for m in TOKEN.finditer(text)]
+    begins = [a for a, _ in every]
     spans: list[list[int]] = []
-    for m in re.finditer(r"\S*[0-9@]\S*", text):
-        a, b = m.span()
-        for _ in range(near):  # widen by tokens
-            x = re.search(r"\S+\s+$", text[max(0, a - 200) : a])
-            if not x or a == 0:
-                break
-            a = max(0, a - 200) + x.start()
-        at = b
-        for _ in range(near):
-            x = re.compile(r"\s+\S+").match(text, at)
-            if not x:
-                break
-            at = x.end()
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(at, spans[-1][1])
+    at = 0
+    while m := TRIGGER.search(text, at):
+        t = bisect.bisect_right(begins, m.start()) - 1
+        at = every[t][1]
+        first, end = max(0, t - MAX_LEN), min(len(every), t + MAX_LEN + 1)
+        if spans and first <= spans[-1][1]:
+            spans[-1][1] = end
         else:
-            spans.append([a, at])
+            spans.append([first, end])
     for a, b in spans:
-        tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
+        tokens = every[a:b]
         for i, j, kind, score in model.decode(text, tokens):
             s, e = bounds(text, tokens[i][0], tokens[j - 1][1])
             out.append((s, e, TYPES[kind], round(score, 4)))
@@ -322,10 +337,10 @@ def entities(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     score: how much the segment scores above leaving its tokens outside. Null and empty
     texts, and texts without entities, give no rows; null ids are carried; repeated rows are answered
-    each. Long texts cost in proportion to the stretches around digits and @. Empty table: no rows.
+    each. Long texts cost in proportion to the stretches around triggers. Empty table: no rows.
     """
     model = model or load()
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(TRIGGER_RE))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
