@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LEN = 5
+MAX_LEN = 10  # an IBAN of 34 characters in groups has nine tokens
 TYPES = ["O", "EMAIL", "PHONE", "CARD", "IP", "SECRET", "ID"]
 WEIGHTS = Path(__file__).with_name("pii_weights.json")
 
@@ -35,7 +35,7 @@ TOKEN = re.compile(r"\S+")
 TRIGGER_RE = r"[0-9@=:]|(?i:passw|pwd|secret|token|key)|(AKIA|ASIA)[A-Z]{16}"
 TRIGGER = re.compile(TRIGGER_RE)
 EMAIL = re.compile(r"[\w.+-]+@[\w-]+(\.[\w-]+)+")
-PHONE = re.compile(r"(\+\d{1,3}[ .-]?)?(\(\d{1,5}\)[ .-]?)?\d{2,4}([ .-]\d{2,5}){1,4}")
+PHONE = re.compile(r"(\+\d{1,3}[ .\xa0-]?)?(\(\d{1,5}\)[ .\xa0-]?)?\d{1,5}([ .\xa0-]\d{2,5}){1,6}")
 LONG = re.compile(r"\d{13,19}|\d{4}([ -]\d{4}){2,3}([ -]\d{1,4})?")
 QUAD = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
 KEY = re.compile(r"[A-Z]{3,5}[A-Z0-9]{14,}")
@@ -43,7 +43,7 @@ NAMED = re.compile(r"(?i)[\w-]*(password|passwd|pwd|secret|token|api_?key|key)[\
 VALUE = re.compile(r"(?i)(.*?)([=:])\s*([\"']?)([^\s\"']+)[\"']?[^\w\s]*")
 BLOB = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
 SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
-IBAN = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{10,30}")
+IBAN = re.compile(r"[A-Z]{2}\d{2}([A-Z0-9]{10,30}|([ \xa0-][A-Z0-9]{4}){2,7}([ \xa0-][A-Z0-9]{1,4})?)")
 DATE = re.compile(r"\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4}")
 VERSION = re.compile(r"v?\d+(\.\d+){0,2}")
 OUTER = ".,;:!?\"')]}<>"
@@ -73,7 +73,8 @@ def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> t
     digits = re.sub(r"\D", "", s)
     n = len(digits)
     f = ["bias", f"len{j - i}"]
-    for name, pattern in (("email", EMAIL), ("phone", PHONE), ("long", LONG), ("key", KEY), ("named", NAMED), ("blob", BLOB), ("ssn", SSN), ("iban", IBAN), ("date", DATE), ("version", VERSION)):
+    # the others hold no blank
+    for name, pattern in (("phone", PHONE), ("long", LONG), ("named", NAMED), ("iban", IBAN)) if j - i > 1 else (("email", EMAIL), ("phone", PHONE), ("long", LONG), ("key", KEY), ("named", NAMED), ("blob", BLOB), ("ssn", SSN), ("iban", IBAN), ("date", DATE), ("version", VERSION)):
         if pattern.fullmatch(s):
             f.append(name)
     if "named" in f:
@@ -94,6 +95,8 @@ def span_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> t
         f.append("alpha")
     if s[:1] == "+":
         f.append("plus")
+    if s[:1] == "0":
+        f.append("zero")
     if s[:1] == "(":
         f.append("paren")
     for side, k in (("left", i - 1), ("right", j)):
@@ -182,6 +185,15 @@ def made_sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, st
 
     low = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
 
+    pairs = lambda k, sign=" ": sign.join(num(2) for _ in range(k))
+
+    def grouped() -> str:
+        """An IBAN in groups of four."""
+        country, size = r.choice([("DE", 22), ("FR", 27), ("ES", 24), ("GB", 22), ("NL", 18), ("MT", 31)])
+        body = country + num(2) + (low(4).upper() if country in ("GB", "NL", "MT") else "")
+        body += num(size - len(body))
+        return " ".join(body[k : k + 4] for k in range(0, size, 4))
+
     def undigited() -> list[str]:
         name = r.choice(["password", "passwd", "PWD", "db_password", "api_key", "apikey", "secret_key", "access_token"])
         value = r.choice([low(r.randint(6, 9)), low(r.randint(10, 24)), low(r.randint(10, 24))])
@@ -192,17 +204,17 @@ def made_sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, st
         if kind == "EMAIL":
             return kind, f"{word()}{r.choice(['', '.', '_'])}{num(r.randint(0, 2))}@{r.choice(['mail', 'post', 'x-y'])}{num(r.randint(0, 1))}.{r.choice(['example.com', 'org', 'co.uk'])}"
         if kind == "PHONE":
-            return kind, r.choice([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)}-{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}"])
+            return kind, r.choice([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)}-{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+33 {num(1)} {pairs(4)}", f"+33 (0) {num(1)} {pairs(4)}", f"0{num(1)} {pairs(4)}", f"0{num(1)}.{pairs(4, '.')}", f"+34 {num(3)} {pairs(3)}", f"+49 {num(2)} {num(4)} {pairs(2)}", f"0{num(3)} {num(6)}"])
         if kind == "CARD":
             return kind, r.choice([num(16), num(16), num(15), f"{num(4)} {num(4)} {num(4)} {num(4)}", f"{num(4)}-{num(4)}-{num(4)}-{num(4)}"])
         if kind == "IP":
             return kind, ".".join(str(r.randint(0, 255)) for _ in range(4))
         if kind == "SECRET":
             return kind, r.choice(["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(14)) + r.choice("234567") + "Q", f"password={hexa(16)}1f", f'token = "{hexa(39)}7"', f"api_key={hexa(18)}9c", f"secret: {hexa(24)}0a", *undigited()])
-        return kind, r.choice([f"{num(3)}-{num(2)}-{num(4)}", f"{r.choice(['DE', 'FR', 'ES'])}{num(20)}"])
+        return kind, r.choice([f"{num(3)}-{num(2)}-{num(4)}", f"{r.choice(['DE', 'FR', 'ES'])}{num(20)}", grouped()])
 
     def harmless() -> str:
-        return r.choice([num(r.randint(1, 6)), f"{r.randint(1, 9)}.{r.randint(0, 9)}.", f"{r.randint(1, 3)}.", f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{r.randint(1900, 2030)}", f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", f"${num(3)}.{num(2)}", f"{num(2)}%", f"{num(2)}:{num(2)}", f"{r.randint(1990, 2020)}-{r.randint(1990, 2020)}", f"@{word()}", f"{num(3)},{num(3)}", f"({num(1)})", f"({num(4)})", f"{word()}:", f"{word()}: {word()}", f"{word()}={word()}", f"http://{low(6)}.org/{low(5)}", f"https://{low(12)}.example.com/", f"{r.choice(['key', 'secret', 'token', 'password', 'keyboard', 'tokens'])}", f"{r.choice(['key', 'secret', 'token'])}: {low(r.randint(2, 8))}", f"{low(3)}::{low(5)}", low(18).upper(), "COVID-19", f"A{num(1)}", f"{num(1)}th", f"{num(2)} {num(2)}"])
+        return r.choice([num(r.randint(1, 6)), f"{r.randint(1, 9)}.{r.randint(0, 9)}.", f"{r.randint(1, 3)}.", f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{r.randint(1900, 2030)}", f"{r.randint(1990, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}", f"${num(3)}.{num(2)}", f"{num(2)}%", f"{num(2)}:{num(2)}", f"{r.randint(1990, 2020)}-{r.randint(1990, 2020)}", f"@{word()}", f"{num(3)},{num(3)}", f"({num(1)})", f"({num(4)})", f"{word()}:", f"{word()}: {word()}", f"{word()}={word()}", f"http://{low(6)}.org/{low(5)}", f"https://{low(12)}.example.com/", f"{r.choice(['key', 'secret', 'token', 'password', 'keyboard', 'tokens'])}", f"{r.choice(['key', 'secret', 'token'])}: {low(r.randint(2, 8))}", f"{low(3)}::{low(5)}", low(18).upper(), " ".join(str(r.randint(1, 99)) for _ in range(r.randint(3, 9))), " ".join(str(r.randint(100, 9999)) for _ in range(r.randint(2, 6))), f"{low(2).upper()}{num(2)} {num(1)}", "COVID-19", f"A{num(1)}", f"{num(1)}th", f"{num(2)} {num(2)}"])
 
     out = []
     for _ in range(n):

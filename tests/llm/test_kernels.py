@@ -193,3 +193,11 @@ def test_secrets_without_digits_are_found():
         assert [(text[a:b], k) for a, b, k, _ in pii_crf.find(model, text)] == [(secret, "SECRET")], secret
     for text in ("the key: to it all", "see http://example.org/page for more", "the secret of the token", "Note: this is so", "x=y and a::b"):
         assert pii_crf.find(model, text) == [], text
+
+
+def test_long_spans_are_found_whole():
+    model = pii_crf.load()
+    for kind, span in (("ID", "DE89 3704 0044 0532 0130 00"), ("ID", "FR14 2004 1010 0505 0001 3M02 606"), ("ID", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"), ("PHONE", "+33 6 12 34 56 78"), ("PHONE", "+33 (0) 6 12 34 56 78"), ("PHONE", "06 12 34 56 78"), ("PHONE", "+34 612 34 56 78")):
+        text = f"then the other {span} and more"
+        assert [(text[a:b], k) for a, b, k, _ in pii_crf.find(model, text)] == [(span, kind)], span
+    assert pii_crf.find(model, "the rows 3 20 15 7 40 61 of it") == []
