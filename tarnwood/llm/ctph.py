@@ -149,32 +149,40 @@ def similarity(a: list[str], b: list[str]) -> np.ndarray:
 def fingerprints(docs: DataFrame, threshold: int = 60) -> DataFrame:
     """(doc_id, block_size, signature, signature2, like_doc_id, score, group, partners), a row a document.
 
-    group: documents of one group have the same signature. partners: all other groups that resemble it
+    group: documents of one group have the same text, by signature and hash. partners: all other groups that resemble it
     at ``threshold`` or more, as (group, doc_id of its first document, score), the best first, then by
     least id. All pairs of documents are thus those within a group and those across it and its partners.
     like_doc_id: the document that resembles it most, by score and then by least id:
-    the first document of the same signature, at score 100, or for that first document the first of the
-    best other signature of at least ``threshold``; null and score 0 where there is none.
+    the first document of the same text, at score 100, or for that first document the first of the
+    best other group of at least ``threshold``; null and score 0 where there is none. Signatures of
+    less than seven characters say too little: such texts resemble equal ones only.
 
     Null and empty text: block size 0, empty signatures, no group, no likeness. Null ids: answered,
     after all others in the order of ids; a like_doc_id that is null has a score above 0.
-    Repeated rows are answered each, and resemble the first document of their signature; a document isn't compared with itself. Empty table: no rows.
+    Repeated rows are answered each, and resemble the first document of their text; a document isn't compared with itself. Empty table: no rows.
     """
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             block, one, two = signatures(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(block), pa.array(one, pa.string()), pa.array(two, pa.string())], ["doc_id", "block_size", "signature", "signature2"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(block), pa.array(one, pa.string()), pa.array(two, pa.string()), b.column("text_hash")], ["doc_id", "block_size", "signature", "signature2", "text_hash"])
 
-    signed = written(slim.mapInArrow(scan, "doc_id bigint, block_size bigint, signature string, signature2 string"), "ctph")
-    key = F.xxhash64("block_size", "signature", "signature2")
+    signed = written(slim.mapInArrow(scan, "doc_id bigint, block_size bigint, signature string, signature2 string, text_hash bigint"), "ctph")
+    key = F.xxhash64("block_size", "signature", "signature2", "text_hash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id"))
     nodes = signed.where("block_size > 0").groupBy(key.alias("node")).agg(first.alias("f"), F.first("block_size").alias("block_size"), F.first("signature").alias("signature"), F.first("signature2").alias("signature2"), F.count("*").alias("members"))
     nodes = written(nodes.select("node", F.col("f.doc_id").alias("first_doc"), "block_size", "signature", "signature2", "members"), "ctph-nodes")
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            # long ones that squeeze to few characters meet if they are equal
+            few = b[[len(x) >= GRAM > max(len(squeeze(x)), len(squeeze(y))) for x, y in zip(b.signature, b.signature2)]]
+            if len(few):
+                whole = (few.block_size.astype(str) + "|" + few.signature + "|" + few.signature2).to_list()
+                end = np.cumsum([len(x) for x in whole])
+                h = kernels.spans_hash(np.frombuffer("".join(whole).encode(), np.uint8), np.append(0, end[:-1]), end)
+                yield pd.DataFrame({"g": kernels.mix(h).view(np.int64), "node": few.node.to_numpy()})
             for column, factor in (("signature", 1), ("signature2", 2)):
                 signs = [squeeze(s) for s in b[column]]
                 sizes = np.array([len(s) for s in signs], np.int64)

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,22 @@ def test_fingerprints_give_all_pairs(spark):
     assert of[60].group is None and of[60].partners == []
 
 
+def test_fingerprints_of_short_texts(spark):
+    short = [f"{a}{b}" for a in "abcdefghijklmn" for b in "opqrstuvwxyz"]  # more than the 64 signatures
+    r = random.Random(8)
+    base = "".join(r.choice("abcdefghij ") for _ in range(150))
+    near = [base] + [base[:p] + c + base[p + 1 : q] + d + base[q + 1 :] for p, c, q, d in ((r.randrange(70), r.choice("klmnop"), r.randrange(75, 150), r.choice("klmnop")) for _ in range(20_000))]
+    first = {}
+    signs = zip(*(list(x) for x in ctph.signatures(pa.array(near))))
+    a, b = next((first[x], t) for t, x in zip(near, signs) if len(x[1]) >= 7 and first.setdefault(x, t) != t)
+    rows = [*enumerate(short), (1000, short[100]), (1001, short[100]), (2000, a), (2001, b), (2002, b)]
+    got = {x.doc_id: x for x in ctph.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert len({(x.block_size, x.signature, x.signature2) for x in got.values()}) < len(short)
+    assert all((got[i].like_doc_id, got[i].score, got[i].partners) == (None, 0, []) for i in range(len(short)))
+    assert [(got[i].like_doc_id, got[i].score) for i in (1000, 1001)] == [(100, 100)] * 2
+    assert [(got[i].like_doc_id, got[i].score) for i in (2000, 2001, 2002)] == [(2001, 100), (2000, 100), (2001, 100)]
+
+
 def test_merkle(spark):
     rows = [(i, f"u{i}", f"text {i}") for i in range(3000)] + [(None, "n", None), (7, "again", "")]
     a = spark.createDataFrame(rows, "page_id bigint, url string, html string")
