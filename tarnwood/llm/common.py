@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +49,38 @@ def rows_keyed(docs: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def block_pairs(rows: DataFrame, member: str, most: int) -> DataFrame:
+    """``rows`` of groups of n, with (part, i, j) added: all pairs of a group, in tasks (group, i, j) of about 2 * ``most`` rows.
+
+    A group of more than ``most`` is cut into parts by the hash of its members, and each
+    row goes to the tasks of its part with every part. A pair of two parts meets in the one task of both; those
+    within part i are to be compared in the task (i, i) only.
+    """
+    parts = F.ceil(F.col("n") / F.lit(most)).cast("int")
+    cut = rows.withColumn("part", F.pmod(F.xxhash64(member), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return cut.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
+    """Batches sorted by ``key``, joined and cut so that no group of one key is split; about ``rows`` rows at a time."""
+    held, n, want = [], 0, rows
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < want:
+            continue
+        t = pa.Table.from_batches(held)
+        k = t[key].to_numpy()
+        other = np.flatnonzero(k != k[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield t.slice(0, cut)
+            t = t.slice(cut)
+        held, n = t.to_batches(), t.num_rows
+        want = max(rows, 2 * n)
+    if n:
+        yield pa.Table.from_batches(held)

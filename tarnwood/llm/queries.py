@@ -31,7 +31,15 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return e8.similar_vectors(table(spark, sf_dir, "embeddings")).withColumn("cosine", F.round("cosine", 4))
+    return e8.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def planted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 over the vectors and a copy of each, whole or with one part set to zero: the synthetic tables hold few neighbours of their own."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    last = F.size("embedding") - 1
+    changed = F.when(F.col("vec_id") % 3 == 0, F.col("embedding")).when(F.col("vec_id") % 3 == 1, F.transform("embedding", lambda x, i: F.when(i == 0, 0.0).otherwise(x))).otherwise(F.transform("embedding", lambda x, i: F.when(i == last, 0.0).otherwise(x)))
+    return e8.similar_vectors(vectors.union(vectors.select(-1 - F.col("vec_id"), changed)))
 
 
 def op6_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_merkle_fixity, op2_suffix_index, op3_temperature_mix, op4_line_runs, op5_e8_lattice, op6_ctph, op7_dp_packing, op8_pii_semicrf, op9_simhash_trie, op10_ppm_langid, pipeline)
+    own = (op1_merkle_fixity, op2_suffix_index, op3_temperature_mix, op4_line_runs, op5_e8_lattice, op6_ctph, op7_dp_packing, op8_pii_semicrf, op9_simhash_trie, op10_ppm_langid, pipeline, planted_vectors)
     return {q.__name__: q for q in own}
 
 
@@ -137,11 +145,17 @@ SELECT doc_id, CAST(min(s) AS BIGINT) AS start_word, CAST(max(s) + 50 - min(s) A
 """
 
 _E8_SQL = """
-SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.95
+WITH RECURSIVE v AS MATERIALIZED ({v}),
+c AS MATERIALIZED (SELECT min(vec_id) AS id, count(*) AS n, embedding FROM v GROUP BY embedding),
+p AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id <> b.id AND list_cosine_similarity(a.embedding, b.embedding) >= 0.95),
+r AS (SELECT id, id AS root FROM c UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id),
+m AS (SELECT id, min(root) AS class_id FROM r GROUP BY id)
+SELECT vec_id, class_id, (SELECT count(*) FROM p WHERE p.a = c.id) AS links, n - 1 AS copies FROM v JOIN c USING (embedding) JOIN m USING (id)
 """
+_VECTORS = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings"
+_PLANTED = _VECTORS + " UNION ALL SELECT -1 - vec_id, CASE vec_id % 3 WHEN 0 THEN CAST(embedding AS DOUBLE[]) WHEN 1 THEN list_concat([0.0], CAST(embedding[2:] AS DOUBLE[])) ELSE list_concat(CAST(embedding[:len(embedding) - 1] AS DOUBLE[]), [0.0]) END FROM embeddings"
 
 
 def oracle_sql() -> dict[str, str]:
     """No SQL: signatures, packing, fields, tries and context trees are tested against brute force."""
-    return {"op1_merkle_fixity": _merkle_sql(), "op2_suffix_index": _PASSAGES_SQL, "op3_temperature_mix": _MIX_SQL, "op4_line_runs": _LINES_SQL, "op5_e8_lattice": _E8_SQL}
+    return {"op1_merkle_fixity": _merkle_sql(), "op2_suffix_index": _PASSAGES_SQL, "op3_temperature_mix": _MIX_SQL, "op4_line_runs": _LINES_SQL, "op5_e8_lattice": _E8_SQL.format(v=_VECTORS), "planted_vectors": _E8_SQL.format(v=_PLANTED)}
