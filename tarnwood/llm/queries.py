@@ -134,14 +134,17 @@ SELECT doc_id, CAST(min(a) AS BIGINT) AS start_line, CAST(max(b) - min(a) AS BIG
 """
 
 _PASSAGES_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0b\f\r]+') AS l FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\x0b\f\r]+') AS l FROM documents WHERE text IS NOT NULL),
+t AS MATERIALIZED (SELECT text, min(doc_id) AS low, max(doc_id) AS high FROM d WHERE len(l) >= 50 GROUP BY text HAVING min(doc_id) <> max(doc_id)),
 w AS MATERIALIZED (SELECT doc_id, s, md5(array_to_string(l[s + 1:s + 50], ' ')) AS c FROM (SELECT doc_id, l, unnest(range(0, len(l) - 49)) AS s FROM d WHERE len(l) >= 50)),
-p AS (SELECT c, doc_id, min(s) AS s, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS r FROM w GROUP BY c, doc_id),
-o AS (SELECT a.c, a.doc_id AS d1, a.s AS s1, b.doc_id AS d2, b.s AS s2 FROM p a JOIN p b ON a.c = b.c AND a.r = 1 AND b.r = 2),
+p AS (SELECT c, doc_id, min(s) AS s FROM w GROUP BY c, doc_id),
+o AS (SELECT c, min(doc_id) AS d1, arg_min(s, doc_id) AS s1, max(doc_id) AS d2, arg_max(s, doc_id) AS s2 FROM p GROUP BY c HAVING min(doc_id) <> max(doc_id)),
 m AS (SELECT w.doc_id, w.s, CASE WHEN w.doc_id = d1 THEN d2 ELSE d1 END AS od, CASE WHEN w.doc_id = d1 THEN s2 ELSE s1 END AS os FROM w JOIN o USING (c)),
 g AS (SELECT *, max(s + 50) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM g)
-SELECT doc_id, CAST(min(s) AS BIGINT) AS start_word, CAST(max(s) + 50 - min(s) AS BIGINT) AS n_words, arg_min(od, s) AS other_doc_id, CAST(arg_min(os, s) AS BIGINT) AS other_start_word FROM i GROUP BY doc_id, isle
+SELECT doc_id, CAST(min(s) AS BIGINT) AS start_word, CAST(max(s) + 50 - min(s) AS BIGINT) AS n_words, arg_min(od, s) AS other_doc_id, CAST(arg_min(os, s) AS BIGINT) AS other_start_word
+FROM i WHERE doc_id NOT IN (SELECT doc_id FROM d JOIN t USING (text)) GROUP BY doc_id, isle
+UNION ALL SELECT doc_id, CAST(0 AS BIGINT), CAST(len(l) AS BIGINT), CASE WHEN doc_id = low THEN high ELSE low END, CAST(0 AS BIGINT) FROM d JOIN t USING (text)
 """
 
 _E8_SQL = """

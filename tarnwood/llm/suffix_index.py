@@ -1,260 +1,302 @@
 """Suffix-array dedup with a logarithmic family of indexes.
 
 Passages of ``length`` words or more that occur in several documents are found with
-sampled suffix arrays. A suffix is sampled if it begins at a minimum of the hashed
-``gram``-word prefixes within some window of ``length`` words; a window's minimum depends
-on its words only, so two equal windows have the same sampled suffix and no passage is
-lost, while about one suffix in twenty is kept. A suffix array holds the sampled suffixes
-of a batch in the order of their (hashed) first words, as a table bucketed and sorted by
-them in the shared folder.
-
-Batches arrive one after another. A new batch gets its suffix array, which is scanned
-together with each existing level for common prefixes (both sides lie in the same buckets
-in the same order: a merge without a shuffle). Then it becomes a level, and levels of equal
+sparse suffix arrays over words. A suffix is sampled if its first ``gram`` words have the least hash
+(the leftmost, of equal ones) among the suffixes that begin in the first half of some window of
+``length`` words. The choice depends on the window's words only, so equal windows have the
+same sampled suffix, and at least ``length - half - 1`` of its words, ``reach``, lie in both. A word is
+known by its hash, as a token by its number; a suffix array holds the sampled
+suffixes of a batch in the order of their words, the order kept by two keys, the hashes of the first and the second
+half of the ``reach`` words, as a table bucketed and sorted by both in the shared folder.
+
+Batches arrive one after another. A new batch gets its suffix array, which is merge-scanned with each
+existing level (both lie in the same buckets in the same order: no shuffle): neighbours whose longest common
+prefix is ``reach`` words or more are met. Then it becomes a level, and levels of equal
 size are merged, so that after n batches there are at most log2(n) + 1 levels and a suffix is
-rewritten log2(n) times.
+rewritten log2(n) times. The family lives in a folder and can be opened again to add to it.
 
-Prefixes in common are candidates only. For these, the text is read again and every
-window of ``length`` words around them is compared; the answer is exact up to collisions of
-a 64-bit prefix hash joined with a 32-bit window hash.
+What was met is a candidate only. Each window of ``length`` words belongs to one sampled suffix; those of the
+met ones are read from the texts again and compared by 64-bit hashes. Equal texts are indexed once.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import drop_path, fresh_path, text_hash, written
+from .common import drop_path, fresh_path, text_hash, whole_groups, written
 
+#: suffixes of one prefix whose windows one task compares; those of more are spread by the windows' hashes
+GROUP_ROWS = 20_000
 
-#: windows that are compared at a time, unless one prefix has more
-SLICE = 400_000
 
-
-def _sliding(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:
-    """op over x[i:i+w] for each i with a whole window, in linear time."""
+def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of x[i:i+w] for each i with a whole window, in linear time."""
     n = len(x)
-    if n < w:
-        return x[:0]
-    pad = -n % w
-    fill = np.full(pad, x[-1], x.dtype)
-    cells = np.concatenate([x, fill]).reshape(-1, w)
-    prefix = op.accumulate(cells, axis=1).reshape(-1)
-    suffix = op.accumulate(cells[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return op(suffix[: n - w + 1], prefix[w - 1 : n])
-
-
-def sampled(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of a chunk: row, word number and hash of each sampled suffix; and, for windows, the words' bounds by row, the hashed windows and their least prefix."""
-    starts, ends = kernels.runs(kernels.VISIBLE[data], offsets)
-    bound = np.searchsorted(starts, offsets)
-    n, w = len(starts), length - gram + 1
-    empty = np.zeros(0, np.int64)
-    if n < length:
-        return empty, empty, empty.astype(np.uint64), bound, empty.astype(np.uint64), empty.astype(np.uint64)
-    words = kernels.spans_hash(data, starts, ends)
-    at = np.arange(n)
-    prefix = kernels.spans_hash(words, at[: n - gram + 1], at[: n - gram + 1] + gram)
-    prefix = np.maximum(prefix, np.uint64(1))
-    whole = kernels.spans_hash(words, at[: n - length + 1], at[: n - length + 1] + length)
-    least = _sliding(prefix, w, np.minimum)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(bound))
-    inside = row[: n - length + 1] == row[length - 1 :]
-    least = np.where(inside, least, np.uint64(0))  # windows across documents have none
-    around = _sliding(np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), w, np.maximum)
-    pick = np.flatnonzero(around[: len(prefix)] == prefix)
-    return row[pick], pick - bound[row[pick]], prefix[pick], bound, whole, least
+    cells = np.concatenate([x, np.full(-n % w, x[-1], x.dtype)]).reshape(-1, w)
+    prefix = np.minimum.accumulate(cells, axis=1).reshape(-1)
+    suffix = np.minimum.accumulate(cells[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(suffix[: n - w + 1], prefix[w - 1 : n])
+
+
+class Words:
+    """The words of a chunk, its windows, and the sampled suffix that each belongs to."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
+        starts, ends = kernels.runs(kernels.VISIBLE[data], offsets)
+        self.bound = np.searchsorted(starts, offsets)
+        self.hash = kernels.spans_hash(data, starts, ends)
+        n, half = len(starts), length // 2
+        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bound))
+        self.window = self.sample = np.zeros(0, np.int64)
+        if n < length:
+            return
+        at = np.arange(n - length + 1)
+        self.window = at[self.row[at] == self.row[at + length - 1]]
+        first = np.arange(n - gram + 1)
+        prefix = kernels.spans_hash(self.hash, first, first + gram)
+        order = np.argsort(prefix, kind="stable")  # the leftmost of equal ones is the least
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.sample = order[_sliding_min(rank, half)[self.window]]
+
+    def spans(self, at: np.ndarray, length: int) -> np.ndarray:
+        return kernels.spans_hash(self.hash, at, at + length).view(np.int64)
+
+
+def _reach(length: int) -> int:
+    return length - length // 2 + 1
 
 
 def _scan(length: int, gram: int):
+    reach = _reach(length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, data, offsets in kernels.chunks(b.column("text")):
-                row, pos, g, *_ = sampled(data, offsets, length, gram)
-                if len(row):
-                    take = pa.array(first + row)
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(pos.astype(np.int32))], ["prefix", "doc_id", "text_key", "pos"])
+                w = Words(data, offsets, length, gram)
+                pick = np.unique(w.sample)
+                if len(pick):
+                    row = w.row[pick]
+                    yield pa.RecordBatch.from_arrays([pa.array(w.spans(pick, reach // 2)), pa.array(w.spans(pick + reach // 2, reach - reach // 2)), b.column("text_key").take(pa.array(first + row)), pa.array((pick - w.bound[row]).astype(np.int32))], ["k1", "k2", "text_key", "pos"])
 
     return run
 
 
 class SuffixIndex:
-    """The family of levels; add() takes a batch of suffixes, common() tells the prefixes met twice."""
-
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets = spark, buckets
-        self.levels: list[tuple[int, str, str]] = []
-        self.met: list[str] = []
+    """The family of levels in a folder; add() takes a batch of suffixes (k1, k2, text_key, pos), common() tells those met in another text.
 
-    def _store(self, df: DataFrame) -> tuple[str, str]:
-        name, path = f"tarnwood_sa_{uuid.uuid4().hex}", fresh_path(self.spark, "sa")
-        df.repartition(self.buckets, "prefix").sortWithinPartitions("prefix", "doc_id", "pos").write.bucketBy(self.buckets, "prefix").sortBy("prefix", "doc_id", "pos").option("path", path).saveAsTable(name)
-        return name, path
+    A folder that holds a family already is opened: its levels and what was met are kept.
+    """
 
-    def _drop(self, name: str, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 0):
+        self.spark, self.path = spark, path
+        self.levels: list[tuple[int, str]] = []
+        self.met: list[str] = []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        fs, at = self._file("family.json")
+        if fs.exists(at):
+            said = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/family.json").collect()))
+            self.levels, self.met, self.buckets = [tuple(x) for x in said["levels"]], said["met"], said["buckets"]
+
+    def _file(self, name: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _save(self) -> None:
+        """The list of levels is written beside the old one and put in its place."""
+        (fs, new), (_, at) = self._file("family.new"), self._file("family.json")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps({"levels": self.levels, "met": self.met, "buckets": self.buckets}).encode()))
+        out.close()
+        fs.delete(at, False)
+        fs.rename(new, at)
+
+    def _table(self, name: str) -> DataFrame:
+        """A level, known to this session as bucketed and sorted."""
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} (k1 BIGINT, k2 BIGINT, text_key BIGINT, pos INT) USING parquet CLUSTERED BY (k1, k2) SORTED BY (k1, k2, text_key, pos) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(name)
+
+    def _store(self, df: DataFrame) -> str:
+        name = f"tarnwood_sa_{uuid.uuid4().hex}"
+        sorted_ = df.repartition(self.buckets, "k1", "k2").sortWithinPartitions("k1", "k2", "text_key", "pos")
+        sorted_.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2", "text_key", "pos").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        drop_path(self.spark, path)
+        drop_path(self.spark, f"{self.path}/{name}")
 
     def add(self, batch: DataFrame) -> None:
-        size, (name, path) = 1, self._store(batch)
-        new = self.spark.table(name).groupBy("prefix").agg(F.min(F.struct("doc_id", "text_key")).alias("a"), F.max(F.struct("doc_id", "text_key")).alias("b"))
-        met = new.where("a <> b").select("prefix")
-        for _, other, _ in self.levels:
-            met = met.union(new.join(self.spark.table(other), "prefix", "left_semi").select("prefix"))
-        at = fresh_path(self.spark, "met")
-        met.write.parquet(at)
-        self.met.append(at)
+        size, name = 1, self._store(batch.distinct())
+        prefixes = self._table(name).groupBy("k1", "k2").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"))
+        met = prefixes.where("a <> b").select("k1", "k2")
+        for _, other in self.levels:
+            met = met.union(prefixes.join(self._table(other).select("k1", "k2", F.col("text_key").alias("t")), ["k1", "k2"]).where("t <> a or t <> b").select("k1", "k2"))
+        self.met.append(f"{self.path}/met-{uuid.uuid4().hex}")
+        met.distinct().write.parquet(self.met[-1])
+        gone = []
         while self.levels and self.levels[-1][0] == size:
-            _, old, old_path = self.levels.pop()
-            merged = self._store(self.spark.table(old).union(self.spark.table(name)))
-            self._drop(old, old_path)
-            self._drop(name, path)
-            (name, path), size = merged, size * 2
-        self.levels.append((size, name, path))
+            _, old = self.levels.pop()
+            merged = self._store(self._table(old).union(self._table(name)).distinct())
+            gone += [old, name]
+            name, size = merged, size * 2
+        self.levels.append((size, name))
+        self._save()
+        for x in gone:
+            self._drop(x)
 
     def common(self) -> DataFrame:
-        """All suffixes whose prefix was met in another document."""
-        met = self.spark.read.parquet(*self.met).distinct()
-        out = None
-        for _, name, _ in self.levels:
-            part = self.spark.table(name).join(met, "prefix", "left_semi")
-            out = part if out is None else out.union(part)
-        return out
+        """(k1, k2, text_key, pos, n): all suffixes whose prefix was met in another text, n being those of its prefix."""
+        met = self.spark.read.schema("k1 bigint, k2 bigint").parquet(*self.met).distinct()
+        every = None
+        for _, name in self.levels:
+            part = self._table(name).join(met, ["k1", "k2"], "left_semi")
+            every = part if every is None else every.union(part)
+        every = written(every, "met-suffixes")
+        counts = every.groupBy("k1", "k2").agg(F.count("*").alias("n"))
+        return every.join(counts, ["k1", "k2"])
 
     def close(self) -> None:
-        for _, name, path in self.levels:
-            self._drop(name, path)
-        for at in self.met:
-            drop_path(self.spark, at)
+        """Forget and delete the family."""
+        for _, name in self.levels:
+            self._drop(name)
+        drop_path(self.spark, self.path)
         self.levels, self.met = [], []
 
 
-def repeated_passages(docs: DataFrame, length: int = 50, gram: int = 8, batches: int = 4) -> DataFrame:
+def _windows(length: int, gram: int):
+    """Rows (g, text_key, pos, s, h): for each listed suffix the windows that belong to it, by where they begin and their hashes."""
+    reach = _reach(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            listed = b.column("at")
+            of, flat = listed.offsets.to_numpy(), listed.values
+            at, spread = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64)
+            for first, data, offsets in kernels.chunks(b.column("text")):
+                w = Words(data, offsets, length, gram)
+                if not len(w.window):
+                    continue
+                last = first + len(offsets) - 1
+                row = np.repeat(np.arange(last - first), np.diff(of[first : last + 1]))
+                wanted, parts = w.bound[row] + at[of[first] : of[last]], spread[of[first] : of[last]]
+                many = np.zeros(len(w.hash), np.int64)
+                many[wanted] = parts
+                use = many[w.sample] > 0
+                s, sample = w.window[use], w.sample[use]  # windows of one suffix are neighbours
+                if not len(s):
+                    continue
+                h = w.spans(s, length)
+                part = h.view(np.uint64) % many[sample].astype(np.uint64)
+                if (part > 0).any():
+                    order = np.lexsort((s, part, sample))
+                    s, sample, h, part = s[order], sample[order], h[order], part[order]
+                new = np.flatnonzero(np.append(True, (sample[1:] != sample[:-1]) | (part[1:] != part[:-1])))
+                ends = np.append(new, len(s)).astype(np.int32)
+                head = sample[new]
+                own = w.row[head]
+                key = kernels.mix(w.spans(head, reach).view(np.uint64) + part[new]).view(np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((s - w.bound[w.row[s]]).astype(np.int32), h)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(b.column(c).take(pa.array(first + own)) for c in ("text_key", "low", "high")), *lists], ["g", "text_key", "low", "high", "s", "h"])
+
+    return run
+
+
+def _compare(t: pa.Table, length: int) -> pa.RecordBatch:
+    """Ranges of words whose windows another document has, with a place of the first in the first and in the last such document."""
+    t = t.combine_chunks()
+    lists = t["s"].chunk(0)
+    size = np.diff(lists.offsets.to_numpy())
+    flat = lambda c: t[c].chunk(0).flatten().to_numpy()
+    s, h = flat("s").astype(np.int64), flat("h")
+    entry = np.repeat(np.arange(len(size)), size)
+    group, text = t["g"].to_numpy()[entry], t["text_key"].to_numpy()
+    # documents by rank: of a null id comes first, as a null sorts in Spark
+    low, high = t["low"].to_numpy(), t["high"].to_numpy()
+    low_d, high_d = low[entry], high[entry]
+    order = np.lexsort((h, group))
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (group[order][1:] != group[order][:-1]))
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    name = text[entry]
+    head = np.lexsort((s, name, low_d, of))
+    least = head[np.flatnonzero(np.append(True, of[head][1:] != of[head][:-1]))]
+    tail = np.lexsort((-s, name, high_d, of))
+    most = tail[np.append(np.flatnonzero(of[tail][1:] != of[tail][:-1]), len(tail) - 1)]
+    shared = ((low_d[least] != high_d[most]) | (name[least] != name[most]))[of]
+    e, p, w = entry[shared], s[shared], of[shared]
+    a, b = least[w], most[w]
+    brk = np.append(True, (e[1:] != e[:-1]) | (p[1:] != p[:-1] + 1) | (a[1:] - a[:-1] != 1) | (b[1:] - b[:-1] != 1)) if len(e) else np.zeros(0, bool)
+    at = np.flatnonzero(brk)
+    stop = np.append(at[1:], len(e))[: len(at)] - 1
+    x, y = a[at], b[at]
+    columns = [text[e[at]], p[at], p[stop] + length, low_d[x], name[x], s[x], high_d[y], s[y]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["text_key", "a", "b", "low", "low_t", "low_s", "high", "high_s"])
+
+
+def repeated_passages(docs: DataFrame, length: int = 50, gram: int = 8, batches: int = 4, path: str | None = None) -> DataFrame:
     """Passages of docs(doc_id, text) that another document has too.
 
     (doc_id, start_word, n_words, other_doc_id, other_start_word): a maximal run of words,
     each of which lies in a window of ``length`` words that occurs in another document;
-    other_* tell one place of its first windows, in the first such document by id. A word is a
-    run of visible bytes, compared as it is. Documents fall into ``batches`` arrivals by
-    the hash of their id.
+    other_* tell the first place of its first window in the first document by id that has it, or, for that first
+    document itself, in the last one. A word is a run of visible bytes, compared as it is. Documents fall into
+    ``batches`` arrivals by the hash of their text. With ``path`` the family is kept there.
 
+    A document whose whole text another one has is one run; other_doc_id is then chosen among those of the same text.
     Null and short texts have no window. Documents are told apart by id and hash of the
-    text: repeated rows are one document; rows of one id with other texts are two. Null ids
-    take part and sort first. Empty table: no rows.
+    text: repeated rows are one document; rows of one id with other texts are two. Null ids take part and sort first. Empty table: no rows.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", text_hash(F.col("text")))
-    staged_at = fresh_path(spark, "suffixes")
-    schema = "prefix bigint, doc_id bigint, text_key bigint, pos int"
-    staged = slim.mapInArrow(_scan(length, gram), schema).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    staged.write.partitionBy("batch").parquet(staged_at)
-    index = SuffixIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    made: list[str] = []
+
+    def stage(df: DataFrame, what: str) -> DataFrame:
+        made.append(fresh_path(spark, what))
+        return written(df, what, made[-1])
+
+    # who has a text; ids by numbers that sort as they do, the null first
+    number = F.coalesce("doc_id", F.lit(-(2**63)))
+    scanned = slim.select("text_key", number.alias("doc"), F.regexp_count("text", F.lit(r"[^ \t\n\x0b\f\r]+")).alias("words"))
+    members = stage(scanned.where(F.col("words") >= length).distinct(), "members")
+    classes = stage(members.groupBy("text_key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.first("words").alias("words")), "classes")
+
+    suffixes_at = fresh_path(spark, "suffixes")
+    made.append(suffixes_at)
+    schema = "k1 bigint, k2 bigint, text_key bigint, pos int"
+    slim.select("text", "text_key").mapInArrow(_scan(length, gram), schema).withColumn("batch", F.pmod(F.hash("text_key"), F.lit(batches))).write.partitionBy("batch").parquet(suffixes_at)
+    index = SuffixIndex(spark, path or fresh_path(spark, "family"))
     for b in range(batches):
-        read = spark.read.schema(schema + ", batch int").parquet(staged_at)
-        index.add(read.where(F.col("batch") == b).select("prefix", "doc_id", "text_key", "pos").distinct())
-    places = written(index.common(), "places")
-    index.close()
-    drop_path(spark, staged_at)
-
-    wanted = places.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    wanted = wanted.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "at")
-    again = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).select("doc_id", "text_key", "text", "at")
-    w = length - gram + 1
-
-    def windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            listed = b.column("at")
-            sizes = np.diff(listed.offsets.to_numpy())
-            flat = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            of = np.concatenate([[0], np.cumsum(sizes)])
-            for first, data, offsets in kernels.chunks(b.column("text")):
-                _, _, _, bound, whole, least = sampled(data, offsets, length, gram)
-                last = first + len(offsets) - 1
-                row = np.repeat(np.arange(last - first), sizes[first:last])
-                pos = flat[of[first] : of[last]]
-                if not len(pos) or not len(whole):
-                    continue
-                p = bound[row] + pos
-                value = None
-                # the windows of a sampled suffix are those whose least prefix it is: a run that ends at it or before
-                grid = p[:, None] - np.arange(w)[None, :]
-                ok = (grid >= 0) & (grid < len(least))
-                prefix = np.array([0], np.uint64)
-                own = np.where(ok, least[np.clip(grid, 0, len(least) - 1)], prefix)
-                value = own.max(axis=1)
-                hit = ok & (own == value[:, None]) & (value[:, None] > 0)
-                hit &= grid >= bound[row][:, None]
-                count = hit.sum(1)
-                h = (whole[np.clip(grid, 0, len(whole) - 1)] & np.uint64(0xFFFFFFFF)).astype(np.uint32)[hit]
-                back = np.broadcast_to(np.arange(w, dtype=np.uint8), grid.shape)[hit]
-                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                take = pa.array(first + row)
-                blob = lambda x: pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer((ends * x.dtype.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
-                out = pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), b.column("doc_id").take(take), b.column("text_key").take(take), pa.array(pos.astype(np.int32)), blob(h), blob(back)], ["prefix", "doc_id", "text_key", "pos", "windows", "back"])
-                yield out.filter(pa.array(count > 0))
-
-    checked = again.mapInArrow(windows, "prefix bigint, doc_id bigint, text_key bigint, pos int, windows binary, back binary")
-
-    def compare(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [r for r in rows if len(r)]
-        if not parts:
-            return
-        every = pd.concat(parts, ignore_index=True).sort_values("prefix", kind="stable", ignore_index=True)
-        parts.clear()
-        # whole prefixes, a bounded number of windows at a time
-        last = np.append(np.flatnonzero(np.diff(every.prefix.to_numpy(np.int64))), len(every) - 1)
-        total = every.back.map(len).to_numpy().cumsum()
-        at = 0
-        while at < len(every):
-            most = total[at - 1] + SLICE if at else SLICE
-            k = np.searchsorted(total[last], most, "right") - 1
-            stop = max(int(last[max(k, 0)]), int(last[np.searchsorted(last, at)])) + 1
-            yield from shared(every.iloc[at:stop].reset_index(drop=True))
-            at = stop
-
-    def shared(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        h = np.frombuffer(b"".join(own.windows), np.uint32)
-        back = np.frombuffer(b"".join(own.back), np.uint8)
-        entry = np.repeat(np.arange(len(own)), own.back.map(len).to_numpy())
-        null = own.doc_id.isna().to_numpy()
-        ids = own.doc_id.fillna(-(2**63)).astype("int64") if null.any() else own.doc_id
-        names = np.rec.fromarrays([ids.to_numpy(np.int64), own.text_key.to_numpy(np.int64)])
-        doc = np.unique(names, return_inverse=True)[1].reshape(-1)  # ordered as the ids are
-        pre = own.prefix.to_numpy(np.int64)[entry]
-        d, pos = doc[entry], own.pos.to_numpy(np.int64)[entry] - back
-        order = np.lexsort((pos, d, h, back, pre))
-        new = np.ones(len(order), bool)
-        x = order
-        new[1:] = (pre[x[1:]] != pre[x[:-1]]) | (back[x[1:]] != back[x[:-1]]) | (h[x[1:]] != h[x[:-1]])
-        g = np.cumsum(new) - 1
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(x))
-        first = head[g]
-        least = d[x[first]]
-        # the place in the next document of the group, for the first document's own
-        other = np.searchsorted(g.astype(np.int64) * (len(names) + 1) + d[x], g[head].astype(np.int64) * (len(names) + 1) + d[x[head]], "right")
-        many = (other < tail)[g]
-        partner = np.where(d[x] == least, np.minimum(other[g], len(x) - 1), first)
-        x2, y = x[many], x[partner[many]]
-        if not len(x2):
-            return
-        res = pd.DataFrame({"e": entry[x2], "s": pos[x2], "o": entry[y], "os": pos[y]}).sort_values(["e", "s"], kind="stable")
-        e, s, o, os_ = (res[c].to_numpy() for c in ("e", "s", "o", "os"))
-        brk = np.append(True, (e[1:] != e[:-1]) | (s[1:] != s[:-1] + 1) | (doc[o[1:]] != doc[o[:-1]]) | (os_[1:] - s[1:] != os_[:-1] - s[:-1]))
-        at = np.flatnonzero(brk)
-        stop = np.append(at[1:], len(e)) - 1
-        yield pd.DataFrame({"doc_id": own.doc_id.array[e[at]], "text_key": own.text_key.to_numpy()[e[at]], "a": s[at], "b": s[stop] + length, "other_doc_id": own.doc_id.array[o[at]], "other_a": os_[at]})
-
-    ranges = checked.repartition("prefix").mapInPandas(compare, "doc_id bigint, text_key bigint, a bigint, b bigint, other_doc_id bigint, other_a bigint")
-    own = Window.partitionBy("doc_id", "text_key").orderBy("a", "b", "other_doc_id", "other_a")
+        index.add(spark.read.schema(schema + ", batch int").parquet(suffixes_at).where(F.col("batch") == b).select("k1", "k2", "text_key", "pos"))
+    wanted = index.common().groupBy(F.col("text_key").alias("t")).agg(F.collect_list(F.struct("pos", F.ceil(F.col("n") / F.lit(GROUP_ROWS)).cast("int").alias("parts"))).alias("at"))
+    wanted = stage(wanted.join(classes.select("text_key", "low", "high"), F.col("t") == F.col("text_key")).select("t", "low", "high", "at"), "wanted")
+    if path is None:
+        index.close()
+
+    first = (number == F.col("low")) & (F.col("text_key") == F.col("t"))
+    again = slim.join(wanted, first).select("text_key", "text", "low", "high", "at")
+    checked = again.mapInArrow(_windows(length, gram), "g bigint, text_key bigint, low bigint, high bigint, s array<int>, h array<bigint>")
+    compare = lambda rows: (_compare(t, length) for t in whole_groups(rows, "g", 10_000))
+    ranges = checked.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "text_key bigint, a bigint, b bigint, low bigint, low_t bigint, low_s bigint, high bigint, high_s bigint")
+    own = Window.partitionBy("text_key").orderBy("a", "b")
     reach = F.max("b").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    runs = ranges.withColumn("new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)).withColumn("g", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = runs.groupBy("doc_id", "text_key", "g").agg(F.min("a").alias("start_word"), (F.max("b") - F.min("a")).alias("n_words"), F.min(F.struct("a", "other_doc_id", "other_a")).alias("o"))
-    return merged.select("doc_id", "start_word", "n_words", F.col("o.other_doc_id").alias("other_doc_id"), F.col("o.other_a").alias("other_start_word"))
+    runs = ranges.withColumn("new", F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)).withColumn("run", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("text_key", "run").agg(F.min("a").alias("start_word"), (F.max("b") - F.min("a")).alias("n_words"), F.min(F.struct("a", "low", "low_t", "low_s", "high", "high_s")).alias("o"))
+    merged = merged.select(F.col("text_key").alias("t"), "start_word", "n_words", "o.low", "o.low_t", "o.low_s", "o.high", "o.high_s")
+    single = classes.where("low = high").select("text_key", F.col("low").alias("doc")).join(merged, F.col("text_key") == F.col("t"))
+    none = F.lit(0).cast("bigint")
+    several = classes.where("low <> high").select(F.col("text_key").alias("t"), F.col("words").cast("bigint").alias("n_words"), "low", "high")
+    copied = members.select("text_key", "doc").join(several, F.col("text_key") == F.col("t")).select("text_key", "doc", none.alias("start_word"), "n_words", "low", F.col("t").alias("low_t"), none.alias("low_s"), "high", none.alias("high_s"))
+    out = single.select(*copied.columns).union(copied)
+    id_of = lambda c: F.when(F.col(c) > -(2**63), F.col(c))
+    is_first = (F.col("doc") == F.col("low")) & (F.col("text_key") == F.col("low_t"))
+    return out.select(id_of("doc").alias("doc_id"), "start_word", "n_words", F.when(is_first, id_of("high")).otherwise(id_of("low")).alias("other_doc_id"), F.when(is_first, F.col("high_s")).otherwise(F.col("low_s")).alias("other_start_word"))
