@@ -84,3 +84,36 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000
         want = max(rows, 2 * n)
     if n:
         yield pa.Table.from_batches(held)
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of each component of the edges a, b among 0..n-1."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges(a, b): (node, root), the root being the least node.
+
+    Each round takes the least root among neighbours and then the root of that root, so
+    long chains take a logarithmic number of rounds; copies of one original take two.
+    """
+    both = written(edges.select("a", "b").union(edges.select("b", "a")), "edges")
+    roots = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    while True:
+        near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
+        step = roots.join(near, roots.node == near.a).select("node", F.least("root", "m").alias("next"), F.col("root").alias("was"))
+        up = roots.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
+        step = checkpointed(step.join(up, F.col("next") == F.col("n2"), "left").select("node", "was", F.least("next", F.coalesce("r2", "next")).alias("root")))
+        roots = step.select("node", "root")
+        if step.where("root <> was").isEmpty():
+            return roots

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import block_pairs, whole_groups, written
-from .simhash_trie import components
+from .common import block_pairs, components, local_roots, whole_groups, written
 
 #: vectors of a cell that one task compares with one another
 CELL_ROWS = 4096
@@ -116,20 +115,6 @@ def _first_meeting(own_cells: np.ndarray, other_cells: np.ndarray, swap: np.ndar
     return np.stack([lesser, greater], axis=2).reshape(len(x), -1).argmax(1)
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least of each component of the edges a, b among 0..n-1."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _meet(t: pa.Table, threshold: float, tables: int) -> pa.RecordBatch:
     """Of the pairs in each group (cell, i, j), of one of the cell's own vectors and another, that reach the threshold: a forest that links them, and each vector's number of pairs that count here."""
     cell, i, j, side, node, table = (t[c].to_numpy() for c in ("c", "i", "j", "part", "node", "t"))
@@ -168,7 +153,7 @@ def _meet(t: pa.Table, threshold: float, tables: int) -> pa.RecordBatch:
                 meeting = 2 * table[rows[0]] + (swap & ~own[rows][q])
                 counts = _first_meeting(lists[p], lists[q], swap, tables) == meeting
                 links += np.bincount(p[counts], minlength=len(rows)) + np.bincount(q[counts], minlength=len(rows))
-        root = _roots(len(rows), np.concatenate(a), np.concatenate(b))
+        root = local_roots(len(rows), np.concatenate(a), np.concatenate(b))
         keep = (links > 0) | (root != np.arange(len(rows)))
         out.append((ids[keep], ids[root[keep]], links[keep]))
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64)) for k in range(3)], ["node", "root", "links"])

@@ -10,13 +10,17 @@ bits, then some rotation of the blocks exists from which on every prefix of j bl
 holds at most j * budget / (budget + 1) differing bits (the cycle lemma). So the trie is
 kept in one rotation per block, a node pair is pruned as soon as it exceeds its prefix's
 share, and, as the first block then allows no difference, the subtrees below it are
-joined only with themselves: a shuffle by (rotation, first block) distributes the join
-with neither node pairs sent to several tasks nor any candidate lost. The join is exact.
-
-Texts of one language share their frequent words, so some unrelated ones come as close as
-copies do, and their number grows with the square of the corpus. Each fingerprint
-therefore carries a second SimHash, of 128 bits over runs of three words, where unrelated
-texts differ in half of the bits; a pair counts only if it is close in that too.
+joined only with themselves. As the corpus grows, these subtrees are cut at deeper prefixes within
+the second block, where one difference is allowed: a fingerprint belongs to its own prefix and visits those
+that have one more bit set, so that each pair of subtrees within the budget meets in one place. What
+is still too large (many equal fingerprints) is cut into parts, and each pair of parts is a task.
+The join is exact.
+
+Texts of one language share their frequent words, so some unrelated ones come as close in them as
+copies do, and their number grows with the square of the corpus. So a document has two prints: 64 bits over its
+words and 128 over its runs of three words, where unrelated texts differ in half of the bits. Two documents
+are near-duplicates if they differ in at most ``budget`` bits of the first and ``SKETCH_BITS`` of the second; all
+such pairs are found, those of equal first prints too. That is a measure of likeness, as any SimHash is, not a proof of it.
 """
 
 from __future__ import annotations
@@ -24,16 +28,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import checkpointed, rows_keyed, text_hash, written
+from .common import block_pairs, components, local_roots, rows_keyed, text_hash, whole_groups, written
 
 BITS = 64
-#: differing bits, of 128, up to which a pair is verified: 64 is what unrelated texts have, about 36 what
+#: differing bits, of the 128 over runs of words, of a near-duplicate: 64 is what unrelated texts have, about 36 what
 #: texts have of whose word pairs two in three are common
 SKETCH_BITS = 42
 
@@ -120,12 +123,12 @@ def rotate(x: np.ndarray, by: int) -> np.ndarray:
     return x if by % 64 == 0 else (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def trie_self_join(values: np.ndarray, allowed: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All i < j of distinct sorted uint64 values that differ within ``allowed`` at every depth.
+def trie_self_join(values: np.ndarray, allowed: np.ndarray, group: np.ndarray, verify=None) -> tuple[np.ndarray, np.ndarray]:
+    """All i < j of sorted uint64 values that differ within ``allowed`` at every depth; equal values are pairs too.
 
     The sorted array is the trie: a node of depth d is a range of equal first d bits.
     group: begins of ranges whose pairs of nodes are joined separately (all share their
-    first bits).
+    first bits). verify: of arrays i and j, which pairs count.
     """
     begin, end = group[:-1].astype(np.int64), group[1:].astype(np.int64)
     own = end - begin > 1
@@ -136,11 +139,11 @@ def trie_self_join(values: np.ndarray, allowed: np.ndarray, group: np.ndarray) -
     one = np.uint64(1)
     while pieces:
         depth, (a0, a1, b0, b1, err) = pieces.pop()
-        small = (a1 - a0) * (b1 - b0) <= 16
+        small = ((a1 - a0) * (b1 - b0) <= 16) | (depth >= BITS)
         if small.any():
-            found.append(_leaves(values, allowed, depth, a0[small], a1[small], b0[small], b1[small], err[small]))
+            found += _leaves(values, allowed, a0[small], a1[small], b0[small], b1[small], verify)
         big = ~small
-        if depth >= BITS or not big.any():
+        if not big.any():
             continue
         a0, a1, b0, b1, err = (x[big] for x in (a0, a1, b0, b1, err))
         shift = np.uint64(BITS - 1 - depth)
@@ -158,17 +161,25 @@ def trie_self_join(values: np.ndarray, allowed: np.ndarray, group: np.ndarray) -
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _leaves(values, allowed, depth, a0, a1, b0, b1, err):
-    """Pairs of small node pairs, compared on the rest of the path at once."""
+def _leaves(values, allowed, a0, a1, b0, b1, verify):
+    """Pairs of small or equal node pairs, compared on the whole path at once, a bounded number at a time."""
     na, nb = a1 - a0, b1 - b0
     count = na * nb
-    k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    nbr = np.repeat(nb, count)
-    i, j = np.repeat(a0, count) + k // nbr, np.repeat(b0, count) + k % nbr
-    ok = i < j
-    i, j = i[ok], j[ok]
-    ok = np.bitwise_count(values[i] ^ values[j]) <= allowed[BITS]
-    return i[ok], j[ok]
+    total = np.cumsum(count)
+    out, at, step = [], 0, 1 << 20
+    while at < total[-1]:
+        k = np.arange(at, min(at + step, int(total[-1])))
+        of = np.searchsorted(total, k, "right")
+        k = k - (total[of] - count[of])
+        i, j = a0[of] + k // nb[of], b0[of] + k % nb[of]
+        ok = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= allowed[BITS])
+        i, j = i[ok], j[ok]
+        if verify is not None and len(i):
+            ok = verify(i, j)
+            i, j = i[ok], j[ok]
+        out.append((i, j))
+        at += step
+    return out
 
 
 def _first_rotation(diff: np.ndarray, budget: int) -> np.ndarray:
@@ -185,64 +196,72 @@ def _first_rotation(diff: np.ndarray, budget: int) -> np.ndarray:
     return first
 
 
-def similar_pairs(prints: DataFrame, budget: int) -> DataFrame:
-    """All pairs a < b (unsigned) of the distinct values of prints(fp, s1, s2) within ``budget`` bits: (a, b, distance).
+def similar_pairs(prints: DataFrame, budget: int, forest: bool = False, task_rows: int = 100_000) -> DataFrame:
+    """Pairs of different nodes of prints(node, fp) within ``budget`` bits of fp: (a, b, distance), a < b; all of them, or with forest as many as connect the same nodes.
 
-    With s1 and s2, the halves of a sketch, only pairs within SKETCH_BITS of each other there. fp must be unique.
+    With columns s1 and s2, the halves of a sketch, only pairs within SKETCH_BITS of each other there. node must be unique; fp may repeat.
+    task_rows: rows of a prefix of the trie that are aimed at; prefixes of twice as many are cut into parts.
     """
     sketched = [c for c in ("s1", "s2") if c in prints.columns]
     rotations = _rotations(budget)
     cut = blocks(budget)
-    keys = [F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(F.shiftleft("fp", cut[r]).bitwiseOR(F.shiftrightunsigned("fp", 64 - cut[r]) if cut[r] else F.lit(0).cast("bigint")), 64 - (cut[r + 1] - cut[r])).alias("block")) for r in range(len(rotations))]
-    routed = prints.select("fp", *sketched, F.explode(F.array(*keys)).alias("k")).select("fp", *sketched, F.col("k.r").alias("r"), F.col("k.block").alias("block"))
-
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [b for b in batches if len(b)]
-        if not rows:
-            return
-        own = pd.concat(rows)
-        for r, part in own.groupby("r"):
-            turn, allowed = rotations[r]
-            values = rotate(part.fp.to_numpy(np.int64).view(np.uint64), turn)
-            order = np.argsort(values)
-            values = values[order]
-            head = values >> np.uint64(BITS - (cut[r + 1] - cut[r]))
-            group = np.append(np.flatnonzero(np.append(True, head[1:] != head[:-1])), len(values))
-            i, j = trie_self_join(values, allowed, group)
-            if sketched and len(i):
-                apart = sum(np.bitwise_count((x := part[c].to_numpy(np.int64)[order].view(np.uint64))[i] ^ x[j]).astype(np.int16) for c in sketched)
-                i, j = i[apart <= SKETCH_BITS], j[apart <= SKETCH_BITS]
-            diff = rotate(values[i] ^ values[j], 64 - turn)
-            once = _first_rotation(diff, budget) == r
-            a, b = (rotate(values[x[once]], 64 - turn) for x in (i, j))
-            yield pd.DataFrame({"a": np.minimum(a, b).view(np.int64), "b": np.maximum(a, b).view(np.int64), "distance": np.bitwise_count(diff[once]).astype(np.int32)})
-
-    return routed.repartition("r", "block").mapInPandas(join, "a bigint, b bigint, distance int")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges(a, b): (node, root), the root being the least node.
-
-    Each round takes the least root among neighbours and then the root of that root, so
-    long chains take a logarithmic number of rounds; copies of one original take two.
-    """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    roots = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    while True:
-        near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        step = roots.join(near, roots.node == near.a).select("node", F.least("root", "m").alias("next"), F.col("root").alias("was"))
-        up = roots.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        step = checkpointed(step.join(up, F.col("next") == F.col("n2"), "left").select("node", "was", F.least("next", F.coalesce("r2", "next")).alias("root")))
-        roots = step.select("node", "root")
-        if step.where("root <> was").isEmpty():
-            return roots
+    m = len(rotations)
+    # bits of the second block by which prefixes grow longer, so that they hold about task_rows; 0 or 1 difference is allowed up to its end
+    rows = max(1, prints.count())
+    first_width = cut[1] - cut[0]
+    most = min(cut[(r + 1) % m + 1] - cut[(r + 1) % m] for r in range(m)) if budget and m > 1 and 2 * budget // m <= 1 else 0
+    extra = min(most, max(0, (rows // (task_rows << first_width)).bit_length()))
+    keys = []
+    for r in range(m):
+        turn, width = cut[r], cut[r + 1] - cut[r]
+        turned = F.shiftleft("fp", turn).bitwiseOR(F.shiftrightunsigned("fp", BITS - turn)) if turn else F.col("fp")
+        prefix = F.shiftrightunsigned(turned, BITS - width - extra)
+        entry = lambda p, own, r=r: F.struct(F.lit(r).alias("r"), p.alias("prefix"), F.lit(own).alias("own"))
+        keys.append(entry(prefix, True))
+        keys += [F.when(prefix.bitwiseAND(1 << b) == 0, entry(prefix.bitwiseOR(1 << b), False)) for b in range(extra)]
+    routed = prints.select("node", "fp", *sketched, F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("k")).select("node", "fp", *sketched, "k.*")
+    counts = routed.groupBy("r", "prefix").agg(F.count("*").alias("n")).select(F.col("r").alias("r2"), F.col("prefix").alias("p2"), "n").where("n > 1")
+    tasks = block_pairs(routed.join(counts, (F.col("r") == F.col("r2")) & (F.col("prefix") == F.col("p2"))), "node", 2 * task_rows)
+    tasks = tasks.select(F.xxhash64("r", "prefix", "i", "j").alias("g"), "r", "i", "j", "part", "own", "node", "fp", *sketched)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "g", task_rows):
+            turns, g = t["r"].to_numpy(), t["g"].to_numpy()
+            for r in np.unique(turns):
+                turn, allowed = rotations[r]
+                mine = np.flatnonzero(turns == r)
+                values = rotate(t["fp"].to_numpy()[mine].view(np.uint64), turn)
+                order = np.lexsort((values, g[mine]))
+                mine, values = mine[order], values[order]
+                node, part, i_part, j_part = (t[c].to_numpy()[mine] for c in ("node", "part", "i", "j"))
+                own = t["own"].to_numpy()[mine].astype(bool)
+                sketch = [t[c].to_numpy()[mine].view(np.uint64) for c in sketched]
+                group = np.append(np.flatnonzero(np.append(True, g[mine][1:] != g[mine][:-1])), len(values))
+
+                def verify(i, j, own=own, part=part, i_part=i_part, j_part=j_part, sketch=sketch, values=values, r=r, turn=turn):
+                    ok = (own[i] | own[j]) & ((part[i] != part[j]) | (i_part[i] == j_part[i]))
+                    if sketch:
+                        ok &= sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int16) for x in sketch) <= SKETCH_BITS
+                    w = np.flatnonzero(ok)
+                    ok[w] = _first_rotation(rotate(values[i[w]] ^ values[j[w]], 64 - turn), budget) == r
+                    return ok
+
+                i, j = trie_self_join(values, allowed, group, verify)
+                if forest and len(i):
+                    root = local_roots(len(node), i, j)
+                    j = np.flatnonzero(root != np.arange(len(root)))
+                    i = root[j]
+                a, b = node[i], node[j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.bitwise_count(values[i] ^ values[j]).astype(np.int32))], ["a", "b", "distance"])
+
+    return tasks.repartition("g").sortWithinPartitions("g").mapInArrow(join, "a bigint, b bigint, distance int")
 
 
 def duplicates(docs: DataFrame, budget: int = 8) -> DataFrame:
     """Near-duplicates of docs(doc_id, text): (doc_id, text_key, keep_doc_id, keep_text_key, fingerprint, keep_fingerprint).
 
-    Documents of one fingerprint (the same words as often), or whose fingerprints are linked by steps of at
-    most ``budget`` differing bits that the sketches confirm, form a group; its first document by (doc_id, hash of the text), null ids last,
+    Documents that are linked by steps of at most ``budget`` differing bits of the words' print and SKETCH_BITS of that of
+    runs of words form a group; its first document by (doc_id, hash of the text), null ids last,
     stays, and each other document is a row naming the one that stays.
 
     A text without a word, empty or null, resembles nothing. Null ids: compared like
@@ -258,11 +277,10 @@ def duplicates(docs: DataFrame, budget: int = 8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fp), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["doc_id", "text_key", "fp", "s1", "s2"]).filter(pa.array(size > 0))
 
     scanned = slim.select("doc_id", "text", text_hash(F.col("text")).alias("text_key")).mapInArrow(scan, "doc_id bigint, text_key bigint, fp bigint, s1 bigint, s2 bigint")
-    prints = written(scanned, "simhash")
-    nodes = prints.groupBy("fp").agg(F.min(F.struct("s1", "s2")).alias("s")).select("fp", "s.s1", "s.s2")
-    edges = similar_pairs(nodes, budget)
-    roots = components(edges)
-    grouped = prints.join(roots, prints.fp == roots.node, "left").select("doc_id", "text_key", "fp", F.coalesce("root", "fp").alias("root"))
+    prints = written(scanned.withColumn("node", F.xxhash64("fp", "s1", "s2")), "simhash")
+    nodes = written(prints.groupBy("node", "fp", "s1", "s2").agg(F.count("*").alias("n")).drop("n"), "simhash-nodes")
+    roots = components(written(similar_pairs(nodes, budget, forest=True).select("a", "b"), "simhash-edges"))
+    grouped = prints.join(roots.withColumnRenamed("node", "m"), F.col("node") == F.col("m"), "left").select("doc_id", "text_key", "fp", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "fp")
     best = grouped.groupBy(F.col("root").alias("g")).agg(F.min(order).alias("k"), F.count("*").alias("members")).where("members > 1")
     out = grouped.join(best, F.col("root") == F.col("g")).where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key"))))

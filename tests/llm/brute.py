@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from tarnwood.llm import mixing, packing, ppm_langid, simhash_trie
+from tarnwood.llm import mixing, packing, ppm_langid
 
 
 def order(d):
@@ -48,17 +48,49 @@ def line_dedup(docs):
     return out
 
 
-def groups(docs, budget=8):
-    """{(doc_id, key): (doc_id, key) of the document that stays}."""
+def _bits(weights):
+    """{hash: weight} folded bit by bit."""
+    out = 0
+    for b in range(64):
+        if sum(np.float32(w) if h >> b & 1 else -np.float32(w) for h, w in sorted(weights.items())) > 0:
+            out |= 1 << b
+    return out
+
+
+def _mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def _word_hash(w):
+    """As a sum of powers over bytes."""
+    h = sum((c + 1) * pow(0x100000001B3, i, 2**64) for i, c in enumerate(w))
+    return _mix((h + len(w) * 0x9E3779B97F4A7C15) % 2**64)
+
+
+def simhash(text):
+    """(64 bits over words, 128 bits over runs of three words) by the definition; None without a word."""
+    words = [_word_hash(w) for w in re.findall(rb"[0-9A-Za-z_\x80-\xff]+", (text or "").lower().encode())]
+    if not words:
+        return None
+    count = {}
+    for w in words:
+        count[w] = count.get(w, 0) + 1
+    runs = [_mix((a + b * 0x9E3779B97F4A7C15 + c * 0xC2B2AE3D27D4EB4F) % 2**64) for a, b, c in zip(words, words[1:], words[2:])] or words
+    half = lambda hs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    return _bits({w: 1 + math.log(n) for w, n in count.items()}), half(runs) | half([_mix(h ^ 0x5851F42D4C957F2D) for h in runs]) << 64
+
+
+def groups(docs, budget=8, sketch_bits=42):
+    """{(doc_id, key): (doc_id, key) of the document that stays}, by all pairs."""
     named = {}
     for d in docs:
         named.setdefault((d["doc_id"], d["key"]), d)
     names = sorted(named, key=lambda n: order(named[n]))
-    fp, size, sketch = simhash_trie.fingerprints(pa.array([named[n]["text"] for n in names], pa.string()))
-    v, s = fp.view(np.uint64), sketch.view(np.uint64)
-    of = {}
-    for i in np.lexsort((sketch[:, 1], sketch[:, 0])):
-        of.setdefault(v[i], i)
+    prints = [simhash(named[n]["text"]) for n in names]
     root = list(range(len(names)))
 
     def find(i):
@@ -68,11 +100,9 @@ def groups(docs, budget=8):
 
     for i in range(len(names)):
         for j in range(i):
-            if size[i] and size[j]:
-                a, b = of[v[i]], of[v[j]]
-                if v[i] == v[j] or (np.bitwise_count(v[i] ^ v[j]) <= budget and np.bitwise_count(s[a] ^ s[b]).sum() <= simhash_trie.SKETCH_BITS):
-                    x, y = find(i), find(j)
-                    root[max(x, y)] = min(x, y)
+            if prints[i] and prints[j] and (prints[i][0] ^ prints[j][0]).bit_count() <= budget and (prints[i][1] ^ prints[j][1]).bit_count() <= sketch_bits:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
     return {names[i]: names[find(i)] for i in range(len(names))}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarnwood.llm import ctph, e8, line_dedup, merkle, mixing, packing, pii_crf, ppm_langid, queries, simhash_trie, suffix_index
-from tarnwood.llm.common import text_hash
+from tarnwood.llm.common import components, text_hash
 
 from . import brute
 
@@ -101,6 +101,28 @@ def test_line_runs_tell_the_lines(docs):
     assert got == brute.gone_lines(listed(docs))
 
 
+def test_similar_pairs_at_any_depth(spark):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 80, dtype=np.uint64)
+    v = np.concatenate([base, base[:20]] + [base ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 12), replace=False)) for _ in base], np.uint64) for _ in range(4)] + [np.repeat(base[:1], 30)])
+    df = spark.createDataFrame([(i, int(x.astype(np.int64))) for i, x in enumerate(v)], "node bigint, fp bigint")
+    near = np.bitwise_count(v[:, None] ^ v[None, :])
+    for budget in (3, 8):
+        want = {(i, j): int(near[i, j]) for i in range(len(v)) for j in range(i + 1, len(v)) if near[i, j] <= budget}
+        for rows in (100_000, 2, 1):  # no, some, and all further bits; prefixes cut into parts
+            got = simhash_trie.similar_pairs(df, budget, task_rows=rows).collect()
+            assert {(r.a, r.b): r.distance for r in got} == want and len(got) == len(want)
+        forest = simhash_trie.similar_pairs(df, budget, forest=True, task_rows=2).collect()
+        assert _class_of(len(v), [(r.a, r.b) for r in forest]) == _class_of(len(v), want)
+
+
+def test_equal_word_prints_need_equal_runs(spark):
+    rows = [(0, "la la la no"), (1, "la la la si"), (2, "la la la no"), (3, "no la la la")]
+    got = {r.doc_id: r.keep_doc_id for r in simhash_trie.duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    want = brute.groups([{"doc_id": i, "key": i, "text": t} for i, t in rows])
+    assert got == {a[0]: b[0] for a, b in want.items() if a != b} and 1 not in got
+
+
 def test_near_dedup(docs):
     rows = listed(docs)
     assert bag(listed(simhash_trie.near_dedup(docs))) == bag(brute.near_dedup(rows))
@@ -112,7 +134,7 @@ def test_near_dedup(docs):
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
-    got = {r.node: r.root for r in simhash_trie.components(edges).collect()}
+    got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
@@ -180,24 +202,78 @@ def test_passages(docs):
     assert got == want and {36, 37} <= set(got)
 
 
-def test_passages_in_slices(docs, monkeypatch):
+def test_passages_of_hot_prefixes(docs, monkeypatch):
     whole = suffix_index.repeated_passages(docs, length=30, gram=5).collect()
-    monkeypatch.setattr(suffix_index, "SLICE", 10)
+    monkeypatch.setattr(suffix_index, "GROUP_ROWS", 1)  # windows of every prefix are spread
     assert sorted(map(str, suffix_index.repeated_passages(docs, length=30, gram=5).collect())) == sorted(map(str, whole))
 
 
-def test_similar_vectors_recall(spark):
+def test_suffix_family_grows_in_its_folder(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(r.randrange(40), r.randrange(3), t, r.randrange(9)) for t in range(5) for _ in range(30 + 17 * t)]
+    schema, path = "k1 bigint, k2 bigint, text_key bigint, pos int", f"file://{tmp_path}/family"
+    for t in (0, 3, 1, 4, 2):
+        index = suffix_index.SuffixIndex(spark, path, buckets=3)  # opened anew for each batch
+        index.add(spark.createDataFrame([x for x in rows if x[2] == t], schema))
+    index = suffix_index.SuffixIndex(spark, path)
+    assert [n for n, _ in index.levels] == [4, 1] and index.buckets == 3
+    texts, every = {}, set(rows)
+    for k1, k2, t, _ in every:
+        texts.setdefault((k1, k2), set()).add(t)
+    want = {x: sum(y[:2] == x[:2] for y in every) for x in every if len(texts[x[:2]]) > 1}
+    assert {(x.k1, x.k2, x.text_key, x.pos): x.n for x in index.common().collect()} == want
+    level = index._table(index.levels[0][1])
+    merged = index._table(index.levels[1][1]).join(level, ["k1", "k2"])
+    assert "Exchange hashpartitioning" not in merged._jdf.queryExecution().executedPlan().toString()  # levels are merged without a shuffle
+    index.close()
+    assert suffix_index.SuffixIndex(spark, path).levels == []
+
+
+def _class_of(n, edges):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in edges:
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("cell_rows", [4096, 7])
+def test_similar_vectors(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(e8, "CELL_ROWS", cell_rows)
     rng = np.random.default_rng(9)
     base = rng.standard_normal((150, 64))
-    v = np.concatenate([base, base[:100] + rng.standard_normal((100, 64)) * 0.15])
+    v = np.concatenate([base, base[:100] + rng.standard_normal((100, 64)) * 0.15, base[149] + rng.standard_normal((40, 64)) * 0.1])
     rows = [(i, x.tolist()) for i, x in enumerate(v)]
-    rows += [(900, None), (901, []), (902, [0.0] * 64), (903, [float("nan")] * 64), (None, rows[0][1]), rows[3], (904, [1.0, 2.0])]
+    rows += [(900, None), (901, []), (902, [0.0] * 64), (903, [float("nan")] * 64), (None, rows[0][1]), rows[3], (904, [1.0, 2.0]), (905, rows[7][1]), (906, rows[7][1])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
-    got = {(r.vec_id_a, r.vec_id_b) for r in e8.similar_vectors(clashing(df)).collect()}
+    got = {r.vec_id: r for r in e8.similar_vectors(clashing(df)).collect()}
+    assert set(got) == set(range(len(v))) | {904, 905, 906}
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    c = u @ u.T
-    want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if c[i, j] >= 0.95}
-    assert got <= want and len(got) >= 0.9 * len(want) > 80
+    near = (u @ u.T >= 0.95) & ~np.eye(len(v), dtype=bool)
+    links = np.array([got[i].links for i in range(len(v))])
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.95 * near.sum() > 1000  # recall
+    of = _class_of(len(v), np.argwhere(near))
+    assert np.mean([got[i].class_id == of[i] for i in range(len(v))]) > 0.95
+    assert [(got[i].copies, got[i].class_id) for i in (7, 905, 906)] == [(2, got[7].class_id)] * 3 and got[904].links == got[904].copies == 0
+    assert e8.similar_vectors(df.limit(0)).count() == 0
+
+
+def test_similar_vectors_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((1000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    z = rng.standard_normal((1000, 64))
+    z -= (z * a).sum(1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * z
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([a, b]))], "vec_id bigint, embedding array<double>")
+    assert e8.similar_vectors(df).where("links > 0").count() >= 0.95 * 2000
 
 
 def test_fingerprints_against_all_pairs(docs):
