@@ -119,15 +119,15 @@ ranked AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source, block ORDER
 SELECT doc_id, ranked.source, CAST(pass AS INTEGER) AS pass, ranked.block, tokens FROM ranked JOIN bp ON ranked.source = bp.source AND ranked.block = bp.block WHERE rest > 0 AND (rest > prior OR bt = 0)
 """
 
-_LINES_SQL = """
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND text <> ''),
-c AS (SELECT *, list_transform(l, lambda x: length(x)) AS n FROM d),
-h AS (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]) AS h),
-w AS (SELECT doc_id, h, unnest(range(1, len(l) - h + 2)) AS p FROM c, h WHERE len(l) >= h),
-v AS (SELECT w.doc_id, w.h, p, l[p:p + w.h - 1] AS win FROM w JOIN c USING (doc_id)
-  WHERE list_sum(n[p:p + w.h - 1]) >= 24 AND (w.h = 1 OR list_sum(n[p:p + w.h // 2 - 1]) < 24 OR list_sum(n[p + w.h // 2:p + w.h - 1]) < 24)),
-k AS (SELECT *, row_number() OVER (PARTITION BY h, win ORDER BY doc_id, p) AS r FROM v),
-m AS (SELECT doc_id, p - 1 AS a, p - 1 + h AS b FROM k WHERE r > 1),
+_LINES_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND text <> ''),
+e AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS p FROM d),
+n AS (SELECT doc_id, p, CASE WHEN regexp_matches(x, '[^ \t\n\x0b\f\r]') THEN p END AS q FROM e),
+r AS (SELECT doc_id, p, q, min(q) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt,
+  max(q) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prv FROM n),
+w AS (SELECT DISTINCT doc_id, a, b FROM (SELECT doc_id, p AS a, nxt AS b FROM r UNION ALL SELECT doc_id, prv, p FROM r) WHERE a IS NOT NULL AND b IS NOT NULL),
+k AS (SELECT w.doc_id, a, b, row_number() OVER (PARTITION BY l[a:b] ORDER BY w.doc_id, a) AS k FROM w JOIN d USING (doc_id)),
+m AS (SELECT doc_id, a - 1 AS a, b FROM k WHERE k > 1),
 g AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m),
 i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM g)
 SELECT doc_id, CAST(min(a) AS BIGINT) AS start_line, CAST(max(b) - min(a) AS BIGINT) AS n_lines FROM i GROUP BY doc_id, isle

@@ -14,34 +14,30 @@ def order(d):
     return (d["doc_id"] is None, d["doc_id"] or 0, d["key"])
 
 
-def gone_lines(docs, min_chars=24):
-    """{(doc_id, key): set of line numbers} that lie in a run of 1, 2, 4, ... lines seen before."""
+def gone_lines(docs, min_chars=1):
+    """{(doc_id, key): set of line numbers} that lie in a run, of any length, with ``min_chars`` visible characters that was seen before."""
     lines = {}
     for d in sorted(docs, key=order):
         if d["text"]:
             lines.setdefault((d["doc_id"], d["key"]), d["text"].split("\n"))
-    gone = {}
-    h = 1
-    while h <= max(map(len, lines.values()), default=0):
-        seen = set()
-        for name, own in lines.items():
-            for p in range(len(own) - h + 1):
+    gone, seen = {}, set()
+    for name, own in lines.items():
+        for p in range(len(own)):
+            for h in range(1, len(own) - p + 1):
                 run = tuple(own[p : p + h])
-                if sum(map(len, run)) >= min_chars:
-                    if run in seen:
-                        gone.setdefault(name, set()).update(range(p, p + h))
-                    seen.add(run)
-        h *= 2
+                if run in seen and len(re.sub(r"[ \t\n\x0b\f\r]", "", "".join(run))) >= min_chars:
+                    gone.setdefault(name, set()).update(range(p, p + h))
+                seen.add(run)
     return gone
 
 
-def line_dedup(docs):
-    gone, out = gone_lines(docs), []
+def line_dedup(docs, min_chars=1):
+    gone, out = gone_lines(docs, min_chars), []
     for d in docs:
         cut = gone.get((d["doc_id"], d["key"]), set())
         if d["text"] and cut:
             kept = [x for i, x in enumerate(d["text"].split("\n")) if i not in cut]
-            if kept:
+            if re.search(r"[^ \t\n\x0b\f\r]", "\n".join(kept)):
                 out.append(d | {"text": "\n".join(kept), "n_chars": len("\n".join(kept))})
         else:
             out.append(d)

@@ -94,6 +94,20 @@ def test_line_dedup(docs):
     assert bag(listed(line_dedup.line_dedup(docs))) == bag(brute.line_dedup(listed(docs)))
 
 
+@pytest.mark.parametrize("min_chars", [1, 7, 24])
+def test_line_runs_of_any_length(spark, min_chars):
+    r = random.Random(min_chars)
+    rows = [(i, "\n".join(r.choice(["", "", " ", "a", "é", "bb", "ccc", "dddd eeee ffff", f"own {i}"]) for _ in range(r.randint(1, 14)))) for i in range(60)]
+    rows += [(100, "\n" * 40 + "x"), (101, "y" + "\n" * 40 + "x"), (102, "x" + "\n" * 9), (103, "x" + "\n" * 9), rows[3], (3, "a\nb"), (None, rows[4][1])]
+    rows += [(i, "ten chars.\nten more..\nand more..\nlast " + str(i)) for i in (200, 201)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {}
+    for x in line_dedup.repeated_runs(df, min_chars).collect():
+        got.setdefault((x.doc_id, x.text_key), set()).update(range(x.start_line, x.start_line + x.n_lines))
+    assert got == brute.gone_lines(listed(df), min_chars)
+    assert bag(listed(line_dedup.line_dedup(df, min_chars))) == bag([{k: v for k, v in d.items() if k != "n_chars"} for d in brute.line_dedup(listed(df), min_chars)])
+
+
 def test_line_runs_tell_the_lines(docs):
     got = {}
     for r in line_dedup.repeated_runs(docs).collect():
