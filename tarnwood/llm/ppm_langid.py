@@ -8,10 +8,11 @@ renormalised over the bytes not seen in the longer one. The chain ends in the un
 distribution over 256 byte values, so every context has a proper distribution and
 -log2 of it is an exact code length.
 
-The trees of all languages are compiled into one automaton whose state is the longest
-known context; each transition carries the code length in every language. Texts are cut
+Each language's tree is compiled into an automaton whose state is the longest
+known context; each transition carries the code length. Texts are cut
 into lanes that first reread ``order`` bytes, which restores the state exactly, and all
-lanes step together in NumPy. A full pass is a narrow map: no shuffle.
+lanes step together in NumPy. A full pass is a narrow map: no shuffle. The size of a tree depends on its
+language's sample only, so languages don't take contexts from one another, however many there are.
 """
 
 from __future__ import annotations
@@ -33,15 +34,20 @@ LANES = 8192
 
 
 @dataclass
-class Model:
-    """A frozen automaton. ``cost`` is [state * (symbols + 1) + symbol, language] in bits."""
+class Tree:
+    """The frozen automaton of one language. ``cost`` and ``step`` are by state * (symbols + 1) + symbol, cost in bits."""
 
-    languages: list[str]
-    order: int
     classes: np.ndarray
     symbols: int
     step: np.ndarray
     cost: np.ndarray
+
+
+@dataclass
+class Model:
+    languages: list[str]
+    order: int
+    trees: list[Tree]
     #: bits a byte on held-out text of each language: its mean
     usual: np.ndarray
 
@@ -50,12 +56,12 @@ class Model:
         n = len(texts)
         bits, size = np.zeros((n, len(self.languages))), np.zeros(n, np.int64)
         for first, data, offsets in kernels.chunks(texts, lower=True):
-            part = self._chunk(self.classes[data], offsets)
-            bits[first : first + len(part)] = part
-            size[first : first + len(part)] = np.diff(offsets)
+            last = first + len(offsets) - 1
+            bits[first:last] = self._chunk(data, offsets)
+            size[first:last] = np.diff(offsets)
         return bits, size
 
-    def _chunk(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         size = np.diff(offsets)
         per = -(-size // LANE)
         row = np.repeat(np.arange(len(size)), per)
@@ -63,23 +69,25 @@ class Model:
         begin = offsets[row] + k * LANE
         end = np.minimum(begin + LANE, offsets[row + 1])
         out = np.zeros((len(size), len(self.languages)))
-        width, pad, warm = self.symbols + 1, self.symbols, self.order
+        warm = self.order
         by_length = np.argsort(begin - end, kind="stable")  # lanes of one length together: little padding
         for at in range(0, len(row), LANES):
             own = by_length[at : at + LANES]
             longest = int((end[own] - begin[own]).max())
             where = np.arange(-warm, longest)[:, None] + begin[own][None, :]
-            seen = symbols[np.clip(where, 0, len(symbols) - 1)].astype(np.int32)
-            seen[(where < offsets[row[own]][None, :]) | (where >= end[own][None, :])] = pad
-            state = np.zeros(len(own), np.int32)
-            total = np.zeros((len(own), len(self.languages)), np.float32)
-            for t in range(warm + longest):
-                move = state * np.int32(width)
-                move += seen[t]
-                if t >= warm:
-                    total += self.cost.take(move, axis=0)
-                state = self.step.take(move)
-            np.add.at(out, row[own], total.astype(np.float64))
+            seen = data[np.clip(where, 0, len(data) - 1)].astype(np.int16)
+            seen[(where < offsets[row[own]][None, :]) | (where >= end[own][None, :])] = 256
+            for i, tree in enumerate(self.trees):
+                width = np.int32(tree.symbols + 1)
+                symbols = np.append(tree.classes, tree.symbols).astype(np.int32)[seen]  # 256: no byte
+                state, total = np.zeros(len(own), np.int32), np.zeros(len(own), np.float32)
+                for t in range(warm + longest):
+                    move = state * width
+                    move += symbols[t]
+                    if t >= warm:
+                        total += tree.cost.take(move)
+                    state = tree.step.take(move)
+                out[:, i] += np.bincount(row[own], total, len(size))
         return out
 
 
@@ -96,79 +104,68 @@ def _contexts(data: np.ndarray, offsets: np.ndarray, order: int, base: int) -> l
     return found
 
 
-def train(samples: dict[str, list[str]], order: int = 4, max_contexts: int = 12_000, trim: float = 0.2) -> Model:
+def train(samples: dict[str, list[str]], order: int = 4, trim: float = 0.2) -> Model:
     """Counts, freezes and compiles the trees.
 
     samples: texts by language. The ``trim`` share of each language's texts that a first
-    model codes worst (mislabelled or garbled) is left out of the second, which is
-    returned. max_contexts: the rarest contexts go beyond it.
+    tree codes worst (mislabelled or garbled) is left out of the second, which is
+    returned. Every other text is held out once to learn what its language usually costs.
     """
     samples = {k: [t for t in v if t] for k, v in sorted(samples.items())}
     samples = {k: v for k, v in samples.items() if v} or {"und": ["a"]}
-    first = _compile(samples, order, max_contexts)
-    kept = {}
-    for i, (lang, texts) in enumerate(samples.items()):
-        bits, size = first.code_lengths(pa.array(texts))
-        rank = np.argsort(bits[:, i] / np.maximum(size, 1), kind="stable")
-        kept[lang] = [texts[j] for j in sorted(rank[: max(1, math.ceil(len(texts) * (1 - trim)))])]
-    # every other text is held out once to learn what this language usually costs
-    half = _compile({k: v[::2] for k, v in kept.items()}, order, max_contexts)
-    usual = []
-    for i, texts in enumerate(kept.values()):
-        bits, size = half.code_lengths(pa.array(texts[1::2] or texts))
-        usual.append(bits[:, i].sum() / max(1, size.sum()))
-    model = _compile(kept, order, max_contexts)
-    model.usual = np.array(usual)
-    return model
-
-
-def _compile(samples: dict[str, list[str]], order: int, max_contexts: int) -> Model:
-    raw = []
+    trees, usual = [], []
     for texts in samples.values():
-        parts = list(kernels.chunks(pa.array(texts), lower=True))
-        sizes = np.concatenate([np.diff(o) for _, _, o in parts])
-        raw.append((np.concatenate([d for _, d, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])))
-    seen = np.unique(np.concatenate([d for d, _ in raw]))
-    a = len(seen) + 1  # the last class: all bytes that no sample has; one probability each, and no context
+        cost_of = lambda tree, own: Model([""], order, [tree], np.ones(1)).code_lengths(pa.array(own))
+        bits, size = cost_of(_compile(texts, order), texts)
+        rank = np.argsort(bits[:, 0] / np.maximum(size, 1), kind="stable")
+        kept = [texts[j] for j in sorted(rank[: max(1, math.ceil(len(texts) * (1 - trim)))])]
+        bits, size = cost_of(_compile(kept[::2], order), kept[1::2] or kept)
+        usual.append(bits.sum() / max(1, size.sum()))
+        trees.append(_compile(kept, order))
+    return Model(list(samples), order, trees, np.array(usual))
+
+
+def _compile(texts: list[str], order: int) -> Tree:
+    """The tree of one language: all contexts seen twice whose own prefix and suffix were."""
+    parts = list(kernels.chunks(pa.array(texts), lower=True))
+    data = np.concatenate([d for _, d, _ in parts])
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, _, o in parts]))])
+    seen = np.unique(data)
+    a = len(seen) + 1  # the last class: all bytes that the sample doesn't have; one probability each, and no context
     classes = np.full(256, len(seen), np.uint8)
     classes[seen] = np.arange(len(seen))
     unseen = max(1, 256 - len(seen))
-    stats = [_contexts(classes[d], o, order, a) for d, o in raw]
-
-    known = []  # contexts of each length, as codes
-    for least in (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 1 << 62):
-        known = [np.zeros(1, np.int64)]
-        for k in range(1, order + 1):
-            codes = [c[n >= least] // a for c, n in (s[k] for s in stats)]
-            own = np.unique(np.concatenate(codes))
-            # a context is kept with its own prefix and suffix only, as the automaton needs
-            ok = np.isin(own // a, known[k - 1]) & np.isin(own % a ** (k - 1), known[k - 1])
-            known.append(own[ok])
-        if sum(map(len, known)) <= max_contexts:
-            break
+    stats = _contexts(classes[data], offsets, order, a)
+
+    known = [np.zeros(1, np.int64)]  # contexts of each length, as codes
+    for k in range(1, order + 1):
+        c, n = stats[k]
+        context, which = np.unique(c // a, return_inverse=True)
+        own = context[np.bincount(which, n) >= 2]
+        # with its own prefix and suffix, as the automaton needs
+        known.append(own[np.isin(own // a, known[k - 1]) & np.isin(own % a ** (k - 1), known[k - 1])])
     base = np.cumsum([0] + [len(x) for x in known])
     states = int(base[-1])
 
-    cost = np.zeros((states, a + 1, len(raw)), np.float32)
-    for i, s in enumerate(stats):
-        p = np.full((1, a), 1 / 256)
-        for k in range(order + 1):
-            ctx = known[k]
-            if not len(ctx):
-                break
-            count = np.zeros((len(ctx), a))
-            c, n = s[k]
-            where = np.searchsorted(ctx, c // a)
-            hit = (where < len(ctx)) & (ctx[np.minimum(where, len(ctx) - 1)] == c // a)
-            count[where[hit], c[hit] % a] = n[hit]
-            below = p if k == 0 else p[np.searchsorted(known[k - 1], ctx % a ** (k - 1))]
-            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            each = np.ones(a)
-            each[-1] = unseen
-            left = np.where(count > 0, 0, below * each).sum(1, keepdims=True)
-            escape = np.where(left > 0, kinds / np.maximum(left, 1e-300), 0)
-            p = np.where(total > 0, np.where(count > 0, count, below * escape) / np.maximum(total + kinds, 1), below)
-            cost[base[k] : base[k + 1], :a, i] = -np.log2(np.maximum(p, 1e-30))
+    cost = np.zeros((states, a + 1), np.float32)
+    p = np.full((1, a), 1 / 256)
+    for k in range(order + 1):
+        ctx = known[k]
+        if not len(ctx):
+            break
+        count = np.zeros((len(ctx), a))
+        c, n = stats[k]
+        where = np.searchsorted(ctx, c // a)
+        hit = (where < len(ctx)) & (ctx[np.minimum(where, len(ctx) - 1)] == c // a)
+        count[where[hit], c[hit] % a] = n[hit]
+        below = p if k == 0 else p[np.searchsorted(known[k - 1], ctx % a ** (k - 1))]
+        total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+        each = np.ones(a)
+        each[-1] = unseen
+        left = np.where(count > 0, 0, below * each).sum(1, keepdims=True)
+        escape = np.where(left > 0, kinds / np.maximum(left, 1e-300), 0)
+        p = np.where(total > 0, np.where(count > 0, count, below * escape) / np.maximum(total + kinds, 1), below)
+        cost[base[k] : base[k + 1], :a] = -np.log2(np.maximum(p, 1e-30))
 
     step = np.zeros((states, a + 1), np.int32)
     symbol = np.arange(a)
@@ -182,7 +179,7 @@ def _compile(samples: dict[str, list[str]], order: int, max_contexts: int) -> Mo
                 hit = (to < 0) & (known[m][at] == tail)
                 to[hit] = base[m] + at[hit]
         step[base[k] : base[k + 1], :a] = np.maximum(to, 0)
-    return Model(list(samples), order, classes, a, step.reshape(-1), cost.reshape(-1, len(raw)), np.ones(len(raw)))
+    return Tree(classes, a, step.reshape(-1), cost.reshape(-1))
 
 
 def training_rows(docs: DataFrame, per_language: int, max_chars: int) -> dict[str, list[str]]:
@@ -200,7 +197,7 @@ SCHEMA = "doc_id bigint, lang string, predicted string, bits double, bits_per_by
 
 
 def identify(
-    docs: DataFrame, per_language: int = 160, max_chars: int = 6_000, order: int = 4, max_contexts: int = 12_000, slack: float = 1.65, free_bits: float = 160.0, keep: bool = False, model: Model | None = None
+    docs: DataFrame, per_language: int = 160, max_chars: int = 6_000, order: int = 4, slack: float = 1.65, free_bits: float = 160.0, keep: bool = False, model: Model | None = None
 ) -> DataFrame:
     """Predicts the language of every document of ``docs(doc_id, text, lang)``.
 
@@ -208,7 +205,7 @@ def identify(
     tie). A document is accepted if that length is at most ``slack`` times the bits a byte
     that the language usually takes, plus ``free_bits``: text that no model can compress
     is no language. per_language rows of at most max_chars characters are the sample that
-    the trees are counted on; nothing else is bounded.
+    the trees are counted on; nothing else is bounded. Of equal code lengths the first language by name is told.
 
     Null or empty text: predicted "und", zero bits, not accepted. Null id or declared
     language: carried through (rows without a declared language aren't trained on). Repeated
@@ -217,8 +214,8 @@ def identify(
     returned: then the result is the accepted rows with the columns of ``docs``.
     """
     spark = docs.sparkSession
-    model = model or train(training_rows(docs, per_language, max_chars), order, max_contexts)
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_contexts, whatever the corpus
+    model = model or train(training_rows(docs, per_language, max_chars), order)
+    shared = spark.sparkContext.broadcast(model)  # its size follows per_language, max_chars and the number of languages, not the corpus
     names = docs.columns
 
     def judge(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:

@@ -107,15 +107,53 @@ def near_dedup(docs):
     return [d for d in docs if keep[d["doc_id"], d["key"]] == (d["doc_id"], d["key"])]
 
 
+class SlowPPM:
+    """Prediction by partial matching straight from counts, a byte at a time, with dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, self.count = order, {}
+        for t in texts:
+            raw = t.lower().encode()
+            for i, byte in enumerate(raw):
+                for k in range(min(i, order) + 1):
+                    own = self.count.setdefault(raw[i - k : i], {})
+                    own[byte] = own.get(byte, 0) + 1
+        held = lambda c: sum(self.count.get(c, {}).values()) >= 2
+        self.known = {b""}
+        for c in sorted(self.count, key=len):
+            if c and held(c) and c[:-1] in self.known and c[1:] in self.known:
+                self.known.add(c)
+
+    def probability(self, context, byte):
+        """The byte's own, or that of an escape and of what the shorter context leaves for the bytes not seen here."""
+        seen = self.count.get(context, {})
+        total, kinds = sum(seen.values()), len(seen)
+        if byte in seen:
+            return seen[byte] / (total + kinds)
+        below = (lambda x: 1 / 256) if not context else lambda x: self.probability(context[1:], x)
+        if not seen:
+            return below(byte)
+        return kinds / (total + kinds) * below(byte) / (1 - sum(below(x) for x in seen))
+
+    def bits(self, text):
+        raw, total = text.lower().encode(), 0.0
+        for i, byte in enumerate(raw):
+            k = next(k for k in range(min(i, self.order), -1, -1) if raw[i - k : i] in self.known)
+            total -= math.log2(self.probability(raw[i - k : i], byte))
+        return total
+
+
 def language_id(docs, model, slack=1.65, free=160.0):
     out = []
     for d in docs:
         text = (d["text"] or "").lower().encode()
-        bits, state = np.zeros(len(model.languages)), 0
-        for byte in text:
-            move = state * (model.symbols + 1) + int(model.classes[byte])
-            bits += model.cost[move]
-            state = model.step[move]
+        bits = np.zeros(len(model.languages))
+        for i, tree in enumerate(model.trees):
+            state = 0
+            for byte in text:
+                move = state * (tree.symbols + 1) + int(tree.classes[byte])
+                bits[i] += tree.cost[move]
+                state = tree.step[move]
         best = int(bits.argmin())
         if text and bits[best] <= slack * model.usual[best] * len(text) + free:
             out.append(d)
@@ -184,4 +222,4 @@ def passages(docs, length):
 
 
 def trained(df):
-    return ppm_langid.train(ppm_langid.training_rows(df, 160, 6_000), 4, 12_000)
+    return ppm_langid.train(ppm_langid.training_rows(df, 160, 6_000), 4)

@@ -9,6 +9,8 @@ import pyarrow as pa
 
 from tarnwood.llm import ctph, e8, kernels, mixing, packing, pii_crf, ppm_langid, simhash_trie
 
+from . import brute
+
 
 def test_spans_hash_depends_on_content_only():
     data = np.frombuffer(b"abcabc abc", np.uint8)
@@ -123,30 +125,35 @@ def test_signature_survives_an_edit():
     assert block[2] == block[3] == 0 and one[2] == "" == two[3]
 
 
-def _slow_bits(model, text):
-    bits, state = np.zeros(len(model.languages)), 0
-    for byte in text.lower().encode():
-        move = state * (model.symbols + 1) + int(model.classes[byte])
-        bits += model.cost[move]
-        state = model.step[move]
-    return bits
-
-
-def test_code_lengths_are_those_of_the_byte_by_byte_coder():
-    samples = {"x": ["the cat and the dog " * 20], "y": ["der hund und die katze " * 20]}
-    m = ppm_langid.train(samples, order=3, max_contexts=400)
-    texts = ["the dog", "", "die katze und " * 60, "zzz é", None]
+def test_code_lengths_are_those_of_counts_and_escapes():
+    r = random.Random(1)
+    samples = {"x": ["the cat and the dog " * 20, "A dog; a cat!"], "y": ["der hund und die katze " * 20], "z": ["".join(r.choice("abé ") for _ in range(300))]}
+    m = ppm_langid.train(samples, order=3, trim=0.0)
+    texts = ["the dog", "", "die katze und " * 60, "zzz é", None, "The CAT und €", "a"]
     bits, size = m.code_lengths(pa.array(texts))
-    for t, b in zip(texts, bits):
-        assert np.allclose(b, _slow_bits(m, t or ""), rtol=1e-4)
+    for i, own in enumerate(samples.values()):
+        slow = brute.SlowPPM(own, 3)
+        assert np.allclose(bits[:, i], [slow.bits(t or "") for t in texts], rtol=1e-4)
     assert size.tolist() == [len((t or "").encode()) for t in texts]
 
 
+def test_many_languages_keep_their_contexts():
+    r = random.Random(2)
+    words = [["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 6))) for _ in range(30)] for _ in range(50)]
+    say = lambda i, n: " ".join(r.choice(words[i]) for _ in range(n))
+    m = ppm_langid.train({f"l{i:02}": [say(i, 60) for _ in range(10)] for i in range(50)})
+    bits, _ = m.code_lengths(pa.array([say(i, 25) for i in range(50)]))
+    assert (bits.argmin(1) == np.arange(50)).all()
+    alone = ppm_langid.train({"l07": [say(7, 60) for _ in range(10)]})
+    assert abs(len(alone.trees[0].cost) / len(m.trees[7].cost) - 1) < 0.2
+
+
 def test_each_context_is_a_distribution():
-    m = ppm_langid.train({"x": ["abracadabra abrakadabra " * 9], "y": ["simsalabim " * 9]}, order=3, max_contexts=300)
-    p = 2.0 ** -m.cost.reshape(-1, m.symbols + 1, 2)[:, : m.symbols, :].astype(float)
-    p[:, -1, :] *= 256 - (m.symbols - 1)  # the last class is all bytes that no sample has
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
+    m = ppm_langid.train({"x": ["abracadabra abrakadabra " * 9], "y": ["simsalabim " * 9]}, order=3)
+    for t in m.trees:
+        p = 2.0 ** -t.cost.reshape(-1, t.symbols + 1)[:, : t.symbols].astype(float)
+        p[:, -1] *= 256 - (t.symbols - 1)  # the last class is all bytes that no sample has
+        assert np.allclose(p.sum(1), 1, atol=1e-4)
 
 
 def test_semi_markov_decoding_is_the_best_segmentation():
