@@ -7,8 +7,9 @@ the signature has less than 32. A second signature is made at twice the block si
 that documents whose block sizes differ by a factor of two can be compared.
 
 Signatures are candidates if they share seven neighbouring characters at one block size, and are
-scored by edit distance (insertions and deletions), bit-parallel over all candidates. They
-are scored where they meet, and all pairs that reach the threshold are passed on.
+scored by edit distance (insertions and deletions), bit-parallel over all candidates. A pair that shares several such
+grams is scored where the least of them meets, so once; what leaves a task are each text's number of partners, its
+best one and a forest that links them, not the pairs. A gram of many texts is cut into parts whose pairs are tasks.
 """
 
 from __future__ import annotations
@@ -16,16 +17,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import written
+from .common import block_pairs, components, local_roots, whole_groups, written
 
 ROLL = 7
 LONG, SHORT, GRAM = 64, 32, 7
+#: texts of one gram that one task compares with one another
+GRAM_ROWS = 2000
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 
 CODE = np.zeros(256, np.uint8)
@@ -146,18 +148,113 @@ def similarity(a: list[str], b: list[str]) -> np.ndarray:
     return alike(Signs(a), Signs(b), k, k)
 
 
+def grams(block: np.ndarray, one: list[str], two: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each different gram of seven characters at a block size."""
+    short = [(squeeze(x), squeeze(y)) for x, y in zip(one, two)]
+    # long ones that squeeze to few characters meet if they are equal
+    few = [i for i, (x, y) in enumerate(short) if len(one[i]) >= GRAM > max(len(x), len(y))]
+    whole = [f"{block[i]}|{one[i]}|{two[i]}" for i in few]
+    end = np.cumsum([len(x) for x in whole], dtype=np.int64)
+    found = [kernels.mix(kernels.spans_hash(np.frombuffer("".join(whole).encode(), np.uint8), np.append(0, end[:-1]).astype(np.int64), end))] if few else []
+    rows = [np.array(few, np.int64)] if few else []
+    for column, factor in ((0, 1), (1, 2)):
+        signs = [x[column] for x in short]
+        sizes = np.array([len(x) for x in signs], np.int64)
+        flat = np.frombuffer("".join(signs).encode(), np.uint8)
+        row, end = np.repeat(np.arange(len(signs)), sizes), np.cumsum(sizes)
+        at = np.arange(len(flat))
+        at = at[at + GRAM <= end[row]]
+        if len(at):
+            h = kernels.spans_hash(flat, at, at + GRAM)
+            with np.errstate(over="ignore"):
+                found.append(kernels.mix(h ^ (block[row[at]] * factor).astype(np.uint64)))
+            rows.append(row[at])
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    both = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(found)]), axis=1)
+    return both[1], both[0].astype(np.int64)
+
+
+def _meets_earlier(held: np.ndarray, i: np.ndarray, j: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Whether held[i] and held[j], sorted grams of two texts, share one that is less than g."""
+    out = np.zeros(len(i), bool)
+    live = np.arange(len(i))
+    for k in range(held.shape[1]):
+        x = held[i[live], k]
+        less = x < g[live]
+        live, x = live[less], x[less]
+        if not len(live):
+            break
+        found = (held[j[live]] == x[:, None]).any(1)
+        out[live[found]] = True
+        live = live[~found]
+    return out
+
+
+def _score(t: pa.Table, threshold: int) -> pa.RecordBatch:
+    """(node, root, links, s, n, like, group) of the texts that have a partner here: the best by score, then by id."""
+    nodes = t["node"].to_numpy()
+    names, first, member = np.unique(nodes, return_index=True, return_inverse=True)
+    head = t.select(["block_size", "first_doc", "signature", "signature2"]).take(pa.array(first))
+    block, docs = head["block_size"].to_numpy(), head["first_doc"]
+    none = docs.is_null().to_numpy(zero_copy_only=False)
+    doc = docs.fill_null(0).to_numpy()
+    signs = head["signature"].to_pylist(), head["signature2"].to_pylist()
+    one, two = (Signs([squeeze(x) for x in c]) for c in signs)
+    g_of, row = grams(block, *signs)
+    most = int(np.bincount(row).max()) if len(row) else 1
+    held = np.full((len(names), most), np.uint64(2**64 - 1))
+    held[row, np.arange(len(row)) - np.searchsorted(row, row)] = g_of  # by row, then by hash
+    g, i_part, j_part, part, task = (t[c].to_numpy() for c in ("g", "i", "j", "part", "task"))
+    order = np.lexsort((member, task))
+    task = task[order]
+    starts = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+    size = np.diff(np.append(starts, len(task)))
+    left = np.repeat(starts + size, size) - 1 - np.arange(len(task))  # members of its group after each
+    total = np.cumsum(left)
+    a, b, score = [], [], []
+    done = 0
+    while done < len(task):  # in pieces, to bound memory
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 250_000, "right")))
+        mine = left[done:stop]
+        x = np.repeat(np.arange(done, stop), mine)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(mine) - mine, mine)
+        x, y = order[x], order[y]
+        ok = (g[x] == g[y]) & ((part[x] != part[y]) | (i_part[x] == j_part[x])) & (member[x] != member[y])
+        x, y = x[ok], y[ok]
+        new = ~_meets_earlier(held, member[x], member[y], g[x].view(np.uint64))
+        i, j = member[x[new]], member[y[new]]
+        value = np.zeros(len(i), np.int64)
+        for same, p, q in ((block[i] == block[j], one, one), (block[i] == block[j], two, two), (block[i] == 2 * block[j], one, two), (block[j] == 2 * block[i], two, one)):
+            w = np.flatnonzero(same)
+            value[w] = np.maximum(value[w], alike(p, q, i[w], j[w]))
+        w = value >= threshold
+        a.append(i[w])
+        b.append(j[w])
+        score.append(value[w])
+        done = stop
+    a, b, score = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (a, b, score))
+    root = local_roots(len(names), a, b)
+    own, other, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([score, score])
+    best = np.lexsort((names[other], doc[other], none[other], -s, own))
+    best = best[np.append(True, own[best][1:] != own[best][:-1])] if len(best) else best
+    links = np.bincount(own, minlength=len(names))[own[best]] if len(best) else own
+    like = other[best]
+    columns = [names[own[best]], names[root[own[best]]], links, -s[best], none[like], pa.array(doc[like], mask=none[like]), names[like]]
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["node", "root", "links", "s", "n", "like", "group"])
+
+
 def fingerprints(docs: DataFrame, threshold: int = 60) -> DataFrame:
-    """(doc_id, block_size, signature, signature2, like_doc_id, score, group, partners), a row a document.
+    """(doc_id, block_size, signature, signature2, like_doc_id, score, group, class_id, links), a row a document.
 
-    group: documents of one group have the same text, by signature and hash. partners: all other groups that resemble it
-    at ``threshold`` or more, as (group, doc_id of its first document, score), the best first, then by
-    least id. All pairs of documents are thus those within a group and those across it and its partners.
+    group: documents of one group have the same text, by signature and hash. links: the number of other groups that
+    resemble it at ``threshold`` or more. A class is what is connected by groups and links; class_id is the doc_id of its first document.
     like_doc_id: the document that resembles it most, by score and then by least id:
     the first document of the same text, at score 100, or for that first document the first of the
     best other group of at least ``threshold``; null and score 0 where there is none. Signatures of
     less than seven characters say too little: such texts resemble equal ones only.
 
-    Null and empty text: block size 0, empty signatures, no group, no likeness. Null ids: answered,
+    Null and empty text: block size 0, empty signatures, no group, class, links or likeness. Null ids: answered,
     after all others in the order of ids; a like_doc_id that is null has a score above 0.
     Repeated rows are answered each, and resemble the first document of their text; a document isn't compared with itself. Empty table: no rows.
     """
@@ -171,84 +268,27 @@ def fingerprints(docs: DataFrame, threshold: int = 60) -> DataFrame:
     signed = written(slim.mapInArrow(scan, "doc_id bigint, block_size bigint, signature string, signature2 string, text_hash bigint"), "ctph")
     key = F.xxhash64("block_size", "signature", "signature2", "text_hash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id"))
-    nodes = signed.where("block_size > 0").groupBy(key.alias("node")).agg(first.alias("f"), F.first("block_size").alias("block_size"), F.first("signature").alias("signature"), F.first("signature2").alias("signature2"), F.count("*").alias("members"))
-    nodes = written(nodes.select("node", F.col("f.doc_id").alias("first_doc"), "block_size", "signature", "signature2", "members"), "ctph-nodes")
+    nodes = signed.where("block_size > 0").groupBy(key.alias("node")).agg(first.alias("f"), F.first("block_size").alias("block_size"), F.first("signature").alias("signature"), F.first("signature2").alias("signature2"))
+    nodes = written(nodes.select("node", F.col("f.doc_id").alias("first_doc"), "block_size", "signature", "signature2"), "ctph-nodes")
 
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            # long ones that squeeze to few characters meet if they are equal
-            few = b[[len(x) >= GRAM > max(len(squeeze(x)), len(squeeze(y))) for x, y in zip(b.signature, b.signature2)]]
-            if len(few):
-                whole = (few.block_size.astype(str) + "|" + few.signature + "|" + few.signature2).to_list()
-                end = np.cumsum([len(x) for x in whole])
-                h = kernels.spans_hash(np.frombuffer("".join(whole).encode(), np.uint8), np.append(0, end[:-1]), end)
-                yield pd.DataFrame({"g": kernels.mix(h).view(np.int64), "node": few.node.to_numpy()})
-            for column, factor in (("signature", 1), ("signature2", 2)):
-                signs = [squeeze(s) for s in b[column]]
-                sizes = np.array([len(s) for s in signs], np.int64)
-                flat = np.frombuffer("".join(signs).encode(), np.uint8)
-                if len(flat) < GRAM:
-                    continue
-                end = np.cumsum(sizes)
-                row = np.repeat(np.arange(len(b)), sizes)
-                at = np.arange(len(flat))
-                at = at[at + GRAM <= end[row]]
-                h = kernels.spans_hash(flat, at, at + GRAM)
-                with np.errstate(over="ignore"):
-                    h = kernels.mix(h ^ (b.block_size.to_numpy()[row[at]] * factor).astype(np.uint64))
-                yield pd.DataFrame({"g": h.view(np.int64), "node": b.node.to_numpy()[row[at]]}).drop_duplicates()
-
-    shared = nodes.select("node", "block_size", "signature", "signature2").mapInPandas(grams, "g bigint, node bigint")
-
-    # most characters are met once only; signatures go to the few rows that have a partner
-    own = Window.partitionBy("g")
-    met = shared.withColumn("n", F.count("*").over(own)).where("n > 1").select("g", F.col("node").alias("at"))
-    full = met.join(nodes, F.col("at") == F.col("node")).select("g", "node", "first_doc", "block_size", "signature", "signature2")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        rows = pd.concat(parts, ignore_index=True)
-        parts.clear()
-        names, first, of = np.unique(rows.node.to_numpy(np.int64), return_index=True, return_inverse=True)
-        head = rows.iloc[first]
-        block = head.block_size.to_numpy(np.int64)
-        doc = head.first_doc.astype("Int64").array
-        one, two = (Signs([squeeze(x) for x in head[c]]) for c in ("signature", "signature2"))
-        g = rows.g.to_numpy(np.int64)
-        order = np.lexsort((of, g))
-        g, member = g[order], of[order]
-        del rows
-        starts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        size = np.diff(np.append(starts, len(g)))
-        left = np.repeat(starts + size, size) - 1 - np.arange(len(g))  # members of its group after each
-        total = np.cumsum(left)
-        done = 0
-        while done < len(g):  # in pieces, to bound memory
-            stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + 250_000, "right")))
-            mine = left[done:stop]
-            i = np.repeat(np.arange(done, stop), mine)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(mine) - mine, mine)
-            code = np.unique(member[i].astype(np.int64) * len(names) + member[j])
-            i, j = code // len(names), code % len(names)
-            value = np.zeros(len(i), np.int64)
-            for ok, x, y in ((block[i] == block[j], one, one), (block[i] == block[j], two, two), (block[i] == 2 * block[j], one, two), (block[j] == 2 * block[i], two, one)):
-                w = np.flatnonzero(ok)
-                value[w] = np.maximum(value[w], alike(x, y, i[w], j[w]))
-            w = np.flatnonzero(value >= threshold)
-            yield pd.DataFrame({"a": names[i[w]], "b": names[j[w]], "doc_a": doc[i[w]], "doc_b": doc[j[w]], "score": value[w]})
-            done = stop
-
-    # a pair meets at each character run that it shares
-    pairs = full.repartition("g").mapInPandas(score, "a bigint, b bigint, doc_a bigint, doc_b bigint, score bigint").dropDuplicates(["a", "b"])
-    other = lambda node, group, doc: F.struct(F.col(node).alias("node"), F.struct((-F.col("score")).alias("s"), F.col(doc).isNull().alias("n"), F.col(doc).alias("like"), F.col(group).alias("group")).alias("w"))
-    sides = pairs.select(F.explode(F.array(other("a", "b", "doc_b"), other("b", "a", "doc_a"))).alias("x")).select("x.node", "x.w")
-    lists = sides.groupBy(F.col("node").alias("n2")).agg(F.sort_array(F.collect_list("w")).alias("ways"))
-    known = nodes.select("node", "first_doc").join(lists, F.col("node") == F.col("n2"), "left").select("node", "first_doc", "ways")
+            g, row = grams(b.column("block_size").to_numpy(), b.column("signature").to_pylist(), b.column("signature2").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), b.column("node").take(pa.array(row))], ["g", "node"])
+
+    shared = nodes.select("node", "block_size", "signature", "signature2").mapInArrow(spread, "g bigint, node bigint")
+    # most grams are those of one text only; signatures go to the few rows that meet another
+    counts = shared.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("g2"), "n")
+    met = block_pairs(shared.join(counts, F.col("g") == F.col("g2")).select("g", F.col("node").alias("at"), "n"), "at", GRAM_ROWS)
+    full = met.join(nodes, F.col("at") == F.col("node")).select(F.xxhash64("g", "i", "j").alias("task"), "g", "i", "j", "part", "node", "first_doc", "block_size", "signature", "signature2")
+    score = lambda batches: (_score(t, threshold) for t in whole_groups(batches, "task"))
+    found = written(full.repartition("task").sortWithinPartitions("task").mapInArrow(score, "node bigint, root bigint, links bigint, s bigint, n boolean, like bigint, group bigint"), "ctph-links")
+    sums = found.groupBy(F.col("node").alias("n2")).agg(F.sum("links").alias("links"), F.min(F.struct("s", "n", "like", "group")).alias("best"))
+    roots = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("n3"), "root")
+    known = nodes.select("node", "first_doc").join(sums, F.col("node") == F.col("n2"), "left").join(roots, F.col("node") == F.col("n3"), "left").select("node", "first_doc", "links", "best", F.coalesce("root", "node").alias("root"))
+    heads = known.groupBy(F.col("root").alias("r2")).agg(F.min(F.struct(F.col("first_doc").isNull().alias("n"), "first_doc")).alias("c"))
+    known = known.join(heads, F.col("root") == F.col("r2")).select("node", "first_doc", "links", "best", F.col("c.first_doc").alias("class_id"))
     out = signed.withColumn("k", key).join(known, F.col("k") == F.col("node"), "left")
     later = F.col("node").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first_doc"))
-    best = F.get("ways", F.lit(0))
-    partners = F.transform(F.coalesce("ways", F.array().cast("array<struct<s:bigint,n:boolean,like:bigint,group:bigint>>")), lambda w: F.struct(w["group"].alias("group"), w["like"].alias("doc_id"), (-w["s"]).alias("score")))
-    like, value = F.when(later, F.col("first_doc")).otherwise(best["like"]), F.when(later, F.lit(100)).otherwise(F.coalesce(-best["s"], F.lit(0)))
-    return out.select("doc_id", "block_size", "signature", "signature2", like.alias("like_doc_id"), value.cast("bigint").alias("score"), F.col("node").alias("group"), partners.alias("partners"))
+    like, value = F.when(later, F.col("first_doc")).otherwise(F.col("best.like")), F.when(later, F.lit(100)).otherwise(F.coalesce(-F.col("best.s"), F.lit(0)))
+    return out.select("doc_id", "block_size", "signature", "signature2", like.alias("like_doc_id"), value.cast("bigint").alias("score"), F.col("node").alias("group"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))

@@ -117,6 +117,35 @@ def test_signature_similarity_is_the_edit_distance():
     assert ctph.similarity(a, b).tolist() == want
 
 
+def _slow_signature(text, block, most):
+    """A byte at a time: a hash of the last seven bytes ends a chunk where it is block - 1 modulo block; the last chunk takes all that is left."""
+    out, chunk = "", bytearray()
+    for i, byte in enumerate(text):
+        chunk.append(byte)
+        last = text[max(0, i - 6) : i + 1]
+        h = sum((brute._mix(c + 1) & 0xFFFFFFFF) * pow(0x01000193, k, 2**32) for k, c in enumerate(reversed(last))) % 2**32
+        h ^= h >> 15
+        h = h * 0x2C1B3C6D % 2**32
+        h ^= h >> 12
+        if len(last) == 7 and h % block == block - 1 and len(out) < most - 1:
+            out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[brute._word_hash(bytes(chunk)) % 64]
+            chunk.clear()
+    return out + ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[brute._word_hash(bytes(chunk)) % 64] if chunk else "")
+
+
+def test_signatures_are_those_of_a_rolling_hash():
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefgh é\n") for _ in range(n)) for n in (1, 6, 7, 40, 400, 3000)] + ["a" * 500]
+    block, one, two = ctph.signatures(pa.array(texts))
+    for t, b, x, y in zip(texts, block, one, two):
+        raw, size = t.encode(), 3
+        while size * 64 < len(raw):
+            size *= 2
+        while size > 3 and len(_slow_signature(raw, size, 10**6)) < 32:
+            size //= 2
+        assert (b, x, y) == (size, _slow_signature(raw, size, 64), _slow_signature(raw, 2 * size, 32)), t[:20]
+
+
 def test_signature_survives_an_edit():
     r = random.Random(8)
     text = " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400))

@@ -327,7 +327,9 @@ def _scores(sign):
     return out
 
 
-def test_fingerprints_give_all_pairs(spark):
+@pytest.mark.parametrize("gram_rows", [2000, 3])
+def test_fingerprints_link_all_pairs(spark, monkeypatch, gram_rows):
+    monkeypatch.setattr(ctph, "GRAM_ROWS", gram_rows)
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8)))
     rows = []
@@ -341,13 +343,21 @@ def test_fingerprints_give_all_pairs(spark):
     got = ctph.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
     sign = {x.group: (x.block_size, x.signature, x.signature2) for x in got if x.group is not None}
     want = {k: v for k, v in _scores(set(sign.values())).items() if v >= 60}
-    pairs = {(sign[x.group], sign[p.group]): p.score for x in got for p in x.partners}
-    assert pairs == want and max(len(x.partners) for x in got) > 3
     head = {g: min((x.doc_id is None, x.doc_id or 0) for x in got if x.group == g) for g in sign}
-    assert all((p.doc_id is None, p.doc_id or 0) == head[p.group] for x in got for p in x.partners)
-    of = {x.doc_id: x for x in got}
-    assert of[50].group == of[0].group and of[50].partners == of[0].partners and of[50].like_doc_id == 0
-    assert of[60].group is None and of[60].partners == []
+    groups = sorted(sign)
+    of = _class_of(len(groups), [(groups.index(g), groups.index(h)) for g in groups for h in groups if (sign[g], sign[h]) in want])
+    for x in got:
+        if x.group is not None:
+            own = {h: want[sign[x.group], sign[h]] for h in sign if (sign[x.group], sign[h]) in want}
+            assert x.links == len(own)
+            assert (x.class_id is None, x.class_id or 0) == min(head[h] for h, c in zip(groups, of) if c == of[groups.index(x.group)])
+            if (x.doc_id is None, x.doc_id or 0) == head[x.group] and own:
+                best = min((-v, head[h]) for h, v in own.items())
+                assert (x.score, (x.like_doc_id is None, x.like_doc_id or 0)) == (-best[0], best[1])
+    assert max(x.links for x in got) > 3
+    by = {x.doc_id: x for x in got}
+    assert by[50].group == by[0].group and by[50].links == by[0].links and by[50].like_doc_id == 0
+    assert (by[60].group, by[60].class_id, by[60].links) == (None, None, 0)
 
 
 def test_fingerprints_of_short_texts(spark):
@@ -361,7 +371,7 @@ def test_fingerprints_of_short_texts(spark):
     rows = [*enumerate(short), (1000, short[100]), (1001, short[100]), (2000, a), (2001, b), (2002, b)]
     got = {x.doc_id: x for x in ctph.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
     assert len({(x.block_size, x.signature, x.signature2) for x in got.values()}) < len(short)
-    assert all((got[i].like_doc_id, got[i].score, got[i].partners) == (None, 0, []) for i in range(len(short)))
+    assert all((got[i].like_doc_id, got[i].score, got[i].links) == (None, 0, 0) for i in range(len(short)))
     assert [(got[i].like_doc_id, got[i].score) for i in (1000, 1001)] == [(100, 100)] * 2
     assert [(got[i].like_doc_id, got[i].score) for i in (2000, 2001, 2002)] == [(2001, 100), (2000, 100), (2001, 100)]
 
