@@ -39,7 +39,8 @@ def solve_exponent(tokens: dict[str, int], target_entropy: float | None = None,
     Entropy falls and repetition falls as the exponent grows, so both are bisected: the
     greatest exponent that reaches target_entropy, or else the least under which no
     source is passed over more than max_repeats times. Without a budget in tokens, it is
-    the one at which no source is cut: every source is used once at least.
+    the one at which no source is cut: every source is used once at least. An entropy above that of equal shares, or a budget
+    that needs more repeats than allowed at any exponent, raises ValueError.
     """
     tokens = {s: n for s, n in tokens.items() if n > 0}
     if not tokens:
@@ -52,6 +53,8 @@ def solve_exponent(tokens: dict[str, int], target_entropy: float | None = None,
 
     low, high = 0.0, 1.0
     if target_entropy is not None:
+        if entropy(weights(tokens, 0.0)) < target_entropy - 1e-9:
+            raise ValueError(f"no mix of {len(tokens)} sources has an entropy of {target_entropy}")
         if entropy(weights(tokens, 1.0)) >= target_entropy:
             return 1.0
         for _ in range(STEPS):
@@ -60,6 +63,8 @@ def solve_exponent(tokens: dict[str, int], target_entropy: float | None = None,
         return round(low, 6)
     if max_repeats is None or repeats(0.0) <= max_repeats:
         return 0.0
+    if repeats(1.0) > max_repeats * (1 + 1e-9):
+        raise ValueError(f"a budget of {budget} tokens uses the sources more than {max_repeats} times")
     for _ in range(STEPS):
         mid = (low + high) / 2
         low, high = (low, mid) if repeats(mid) <= max_repeats else (mid, high)

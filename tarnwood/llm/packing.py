@@ -8,8 +8,9 @@ within a sentence. With T the running tokens, best[j] = window - T[j] + penalty[
 min(best[i] + T[i]) over the i with T[j] - T[i] <= window: a sliding-window minimum, kept
 in a monotone queue, so that a shard takes linear time.
 
-Shards are runs of ids, of ``shard_docs`` documents each on average; windows don't cross
-them. Texts are tokenised where they lie; only the counts by sentence are shuffled.
+Shards are ``shard_docs`` documents each, neighbours in the order of ids, however the ids lie; windows don't cross
+them. Ids alone are sorted, by range, to find where shards begin; texts are tokenised where they lie and then go to their
+shard; only the counts by sentence are shuffled with them.
 """
 
 from __future__ import annotations
@@ -23,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import running_total
 from . import kernels
 from .common import text_hash
 
 #: what the end of a unit is
 DOCUMENT, SENTENCE, PIECE = 0, 1, 2
+#: beginnings of shards that are broadcast, of 17 bytes each; with more shards than that, several share one and are told apart where they are packed
+BEGINNINGS = 1_000_000
 _STOP = np.zeros(256, bool)
 _STOP[[ord("."), ord("!"), ord("?")]] = True
 
@@ -99,6 +103,28 @@ def best_cuts(tokens: np.ndarray, penalty: np.ndarray, window: int) -> tuple[lis
     return cuts[::-1], best
 
 
+class Beginnings:
+    """Which of the ordered beginnings (doc_id, text_key), null ids last, a row belongs to."""
+
+    def __init__(self, ids: list[int | None], keys: list[int]):
+        self.named = sum(i is not None for i in ids)
+        self.ids, self.keys = np.array(ids[: self.named], np.int64), np.array(keys, np.int64)
+
+    def of(self, ids: pa.Array, keys: pa.Array) -> np.ndarray:
+        null, key = ids.is_null().to_numpy(zero_copy_only=False), keys.to_numpy()
+        doc = ids.fill_null(0).to_numpy()
+        low, high = np.searchsorted(self.ids, doc, "left"), np.searchsorted(self.ids, doc, "right")
+        low[null], high[null] = self.named, len(self.keys)
+        first, last = low.copy(), low.copy()
+        for a in np.unique(low[low < high]):  # ids that begin shards themselves
+            w = np.flatnonzero((low == a) & (low < high))
+            own = self.keys[a : high[w[0]]]
+            first[w], last[w] = a + np.searchsorted(own, key[w], "left"), a + np.searchsorted(own, key[w], "right")
+        # rows equal to several beginnings are equal to one another, and take turns
+        many = np.maximum(last - first, 1)
+        return np.maximum(last - 1 - np.arange(len(last)) % many, 0)
+
+
 SCHEMA = "shard bigint, window bigint, n_tokens bigint, padding bigint, doc_ids array<bigint>, starts array<bigint>, ends array<bigint>"
 
 
@@ -109,30 +135,35 @@ def pack(docs: DataFrame, window: int = 2048, split_penalty: int = 64, truncate_
     doc_ids[k]. The pieces of a document, in order, are its whole text. with_text adds
     ``text``, the pieces joined by a blank line.
 
-    Documents are in the order of (doc_id, hash of the text); null ids make the last
-    shard. Documents without a token take no space and are left out. Repeated rows are
+    Documents are in the order of (doc_id, hash of the text), null ids last. Documents without a token take no space and are left out. Repeated rows are
     packed each. Empty table: no rows.
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    r = slim.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("doc_id").alias("n")).first()
-    span = max(1, round((r.b - r.a + 1) / r.n * shard_docs)) if r.n else 1
-    low = r.a or 0
-    keyed = slim.withColumn("text_key", text_hash(F.col("text"))).withColumn("shard", F.coalesce(F.floor((F.col("doc_id") - low) / F.lit(span)), F.floor(F.lit(((r.b or 0) - low) / span)) + 1).cast("bigint"))
+    keyed = slim.withColumn("text_key", text_hash(F.col("text")))
+    ranked = running_total(keyed.select("doc_id", "text_key"), ["doc_id", "text_key"], name="rank")
+    several = -(-ranked.count() // (shard_docs * BEGINNINGS)) or 1  # shards to a beginning
+    found = ranked.where(F.col("rank") % (shard_docs * several) == 0).orderBy("rank").collect()  # BEGINNINGS at most
+    begin = docs.sparkSession.sparkContext.broadcast(Beginnings([r.doc_id for r in found], [r.text_key for r in found]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, tokens, end, kind = units(b.column("text"), window)
             bound = np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(bound), pa.array(x.astype(t))) for x, t in ((tokens, np.int32), (end, np.int64), (kind, np.int8))]
-            keep = [c for c in ("shard", "doc_id", "text_key", "text") if c != "text" or with_text]
-            out = pa.RecordBatch.from_arrays([b.column(c) for c in keep] + lists, keep + ["tokens", "ends", "kinds"])
+            keep = [c for c in ("doc_id", "text_key", "text") if c != "text" or with_text]
+            run = pa.array(begin.value.of(b.column("doc_id"), b.column("text_key")))
+            out = pa.RecordBatch.from_arrays([run] + [b.column(c) for c in keep] + lists, ["run"] + keep + ["tokens", "ends", "kinds"])
             yield out.filter(pa.array(np.diff(bound) > 0))
 
     kinds = "tokens array<int>, ends array<bigint>, kinds array<tinyint>"
-    counted = keyed.mapInArrow(scan, "shard bigint, doc_id bigint, text_key bigint, " + ("text string, " if with_text else "") + kinds)
+    counted = keyed.mapInArrow(scan, "run bigint, doc_id bigint, text_key bigint, " + ("text string, " if with_text else "") + kinds)
 
-    def one(own: pd.DataFrame) -> pd.DataFrame:
+    def each(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["doc_id", "text_key"], na_position="last", kind="stable")
+        cuts = range(0, len(own), shard_docs) if several > 1 else [0]
+        return pd.concat([one(own.iloc[a : a + shard_docs] if several > 1 else own, own.run.iloc[0] * several + k) for k, a in enumerate(cuts)])
+
+    def one(own: pd.DataFrame, shard: int) -> pd.DataFrame:
         sizes = own.tokens.map(len).to_numpy()
         tokens, ends, kind = (np.concatenate(own[c].to_list()) for c in ("tokens", "ends", "kinds"))
         fine = np.array([0, split_penalty, truncate_penalty])[kind]
@@ -149,11 +180,11 @@ def pack(docs: DataFrame, window: int = 2048, split_penalty: int = 64, truncate_
             start = [int(ends[f - 1]) if f and doc[f - 1] == d else 0 for f, d in zip(first, members)]
             stop = [int(x) for x in ends[last]]
             n = int(total[cut] - total[at])
-            row = [own.shard.iloc[0], w, n, window - n, [ids[d] for d in members], start, stop]
+            row = [shard, w, n, window - n, [ids[d] for d in members], start, stop]
             if raw is not None:
                 row.append("\n\n".join(raw[d][a:b].decode() for d, a, b in zip(members, start, stop)))
             rows.append(row)
             at = cut
         return pd.DataFrame(rows, columns=["shard", "window", "n_tokens", "padding", "doc_ids", "starts", "ends"] + ["text"] * with_text)
 
-    return counted.groupBy("shard").applyInPandas(one, SCHEMA + (", text string" if with_text else ""))
+    return counted.groupBy("run").applyInPandas(each, SCHEMA + (", text string" if with_text else ""))

@@ -78,10 +78,10 @@ _LEAVES = """
     SELECT *, CAST(sum(bytes) OVER (PARTITION BY file ORDER BY slot) AS BIGINT) AS e FROM (
       SELECT coalesce(page_id - low, high - low + 1) AS slot,
         sha256(string_agg(h, ',' ORDER BY h)) AS hash, CAST(sum(b) AS BIGINT) AS bytes, CAST(coalesce(page_id - low, high - low + 1) // 4096 AS BIGINT) AS file
-      FROM (SELECT page_id, sha256(coalesce('1' || url, '0') || chr(31) || coalesce('1' || html, '0')) AS h,
+      FROM (SELECT page_id, sha256(coalesce(strlen(url) || ':' || url, 'n') || coalesce(strlen(html) || ':' || html, 'n')) AS h,
               coalesce(strlen(url), 0) + coalesce(strlen(html), 0) AS b FROM {t}), span
       GROUP BY slot, file))"""
-_UP = """SELECT node // 64 AS node, sha256(string_agg(node || ':' || hash, ',' ORDER BY node)) AS hash, CAST(sum(bytes) AS BIGINT) AS bytes,
+_UP = """SELECT node // 64 AS node, sha256(string_agg(node || ':' || bytes || ':' || hash, ',' ORDER BY node)) AS hash, CAST(sum(bytes) AS BIGINT) AS bytes,
     min(file) AS file, min(s) AS s, max(e) AS e FROM {t} GROUP BY node // 64"""
 
 

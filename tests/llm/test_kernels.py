@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tarnwood.llm import ctph, e8, kernels, mixing, packing, pii_crf, ppm_langid, simhash_trie
 
@@ -96,6 +97,9 @@ def test_exponent_meets_its_target():
     q = mixing.weights(tokens, b)
     use = {s: q[s] / tokens[s] for s in tokens}
     assert abs(max(use.values()) / min(use.values()) - 3.0) < 1e-3
+    for bad in ({"max_repeats": 2.0, "budget": 11_000}, {"target_entropy": 1.2}):
+        with pytest.raises(ValueError):
+            mixing.solve_exponent(tokens, **bad)
     assert mixing.solve_exponent({}, None) == 1.0 and mixing.solve_exponent({"a": 5}, None) == 0.0
 
 

@@ -174,7 +174,7 @@ def test_pack(docs, window):
     ends = packing.units
     import pyarrow as pa
 
-    first = sorted((d for d in rows if d["doc_id"] is not None), key=brute.order)
+    first = sorted(rows, key=brute.order)
     _, tokens, _, kind = ends(pa.array([d["text"] for d in first]), window)
     fine = np.array([0, 64, 512])[kind]
     at = {int(x): f for x, f in zip(np.cumsum(tokens), fine)}
@@ -394,6 +394,34 @@ def test_merkle(spark):
     assert [(r.key, r.status) for r in gap] == [(None, "differs")]  # null isn't empty
 
 
+def test_merkle_of_odd_keys_and_columns(spark):
+    schema = "`record.id` string, url string, html string"
+    a = spark.createDataFrame([(f"<urn:{i}>", f"u{i}", "x" * i) for i in range(200)] + [("<urn:7>", "again", None), (None, "a\x1f1b", "c"), ("long", "u", "y" * 3_000_000)], schema)
+    b = a.where("`record.id` is null or `record.id` <> '<urn:9>'").withColumn("url", F.when(F.col("`record.id`") == "<urn:50>", "bad").otherwise(F.col("url")))
+    b = b.withColumn("html", F.when(F.col("`record.id`") == "long", F.concat(F.substring("html", 2, 10**7), F.lit("z"))).otherwise(F.col("html")))
+    found = merkle.audit(clashing(a), clashing(b), "record.id", ["url", "html"]).where("level = 0").collect()
+    assert {(r.key, r.status) for r in found} == {("<urn:9>", "lost"), ("<urn:50>", "differs"), ("long", "differs")}
+    # no other row of fields reads the same
+    b = a.withColumn("html", F.when(F.col("`record.id`").isNull(), "b\x1f1c").otherwise(F.col("html"))).withColumn("url", F.when(F.col("`record.id`").isNull(), "a").otherwise(F.col("url")))
+    assert [(r.key, r.status) for r in merkle.audit(a, b, "record.id", ["url", "html"]).where("level = 0").collect()] == [(None, "differs")]
+    far = spark.createDataFrame([(-(2**62), "a"), (2**62, "b")], "page_id bigint, url string")
+    assert [(r.key, r.status) for r in merkle.audit(far, far.where("page_id < 0")).where("level = 0").collect()] == [(str(2**62), "lost")]
+
+
+@pytest.mark.parametrize("beginnings", [1_000_000, 2])
+def test_pack_shards_by_rank(spark, monkeypatch, beginnings):
+    monkeypatch.setattr(packing, "BEGINNINGS", beginnings)
+    ids = [*range(100), 10**12, 10**15, *[None] * 30, *[7] * 25]
+    df = spark.createDataFrame([(i, f"a b c {n % 5 if i is None else i}") for n, i in enumerate(ids)], "doc_id bigint, text string").repartition(3)
+    out = packing.pack(df, window=16, shard_docs=10).collect()
+    held = {}
+    for r in out:
+        held.setdefault(r.shard, []).extend(dict.fromkeys(r.doc_ids) if None not in r.doc_ids and 7 not in r.doc_ids else r.doc_ids)
+    assert sum(r.n_tokens for r in out) == 4 * len(ids) and max(map(len, held.values())) <= 25
+    lone = [sorted(x) for s, x in sorted(held.items()) if None not in x and 7 not in x]
+    assert lone == sorted(lone) and sorted(i for x in lone for i in x) == sum(lone, [])
+
+
 def test_entities(spark):
     text = "write to jo.doe@mail.example.com or +1 (555) 123-4567 by 2024-01-02"
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (None, text), (4, "no digits"), (5, "word " * 60_000 + text)], "doc_id bigint, text string")
