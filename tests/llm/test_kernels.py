@@ -189,33 +189,48 @@ def test_each_context_is_a_distribution():
         assert np.allclose(p.sum(1), 1, atol=1e-4)
 
 
+def _best_score(model, text, tokens):
+    """The score of the best segmentation, by trying all."""
+    move = lambda a, b: 0.0 if a is None else model.w.get(f"{pii_crf.TYPES[a]}>{pii_crf.TYPES[b]}", 0.0)
+    score = {(i, j): [model.score(k, pii_crf.span_features(text, tokens, i, j)) for k in range(len(pii_crf.TYPES))] for j in range(len(tokens) + 1) for i in range(max(0, j - pii_crf.MAX_LEN), j)}
+
+    def walk(i, prev):
+        if i == len(tokens):
+            return 0.0
+        return max(score[i, j][k] + move(prev, k) + walk(j, k) for j in range(i + 1, min(len(tokens), i + pii_crf.MAX_LEN) + 1) for k in range(len(pii_crf.TYPES)) if k or j == i + 1)
+
+    return walk(0, None)
+
+
 def test_semi_markov_decoding_is_the_best_segmentation():
-    model = pii_crf.load()
-    text = "call +1 (555) 123-4567 or 4111 1111"
-    tokens = [m.span() for m in pii_crf.TOKEN.finditer(text)]
-    seg = model.segments(pii_crf.lattice(text, tokens))
-    best = -math.inf
-
-    def walk(j, prev, total):
-        nonlocal best
-        if j == len(tokens):
-            best = max(best, total)
-            return
-        for e in range(j + 1, len(tokens) + 1):
-            for i, scores in seg[e - 1]:
-                if i == j:
-                    for k, v in scores:
-                        walk(e, k, total + v + (model.w.get(f"{pii_crf.TYPES[prev]}>{pii_crf.TYPES[k]}", 0.0) if prev is not None else 0.0))
-
-    walk(0, None, 0.0)
-    found = model.decode(text, tokens)
-    got, prev, at = 0.0, None, 0
-    plan = {i: (j, k) for i, j, k, _ in found}
-    while at < len(tokens):
-        j, k = plan.get(at, (at + 1, 0))
-        got += next(v for i, s in seg[j - 1] if i == at for q, v in s if q == k) + (model.w.get(f"{pii_crf.TYPES[prev]}>{pii_crf.TYPES[k]}", 0.0) if prev is not None else 0.0)
-        prev, at = k, j
-    assert abs(got - best) < 1e-6
+    model, r = pii_crf.load(), random.Random(3)
+    assert model.calm()
+    pieces = ["call", "+1", "(555)", "123-4567", "4111", "1111", "x@y.org", "key:", "abcdefghijklmnop", "password=hunterhunter", "and", "=", "10.0.0.1", "DE89", "the", "ABCDEFGHIJKLMNOPQRST", "(so", "+"]
+    for n in range(60):
+        text = " ".join(r.choice(pieces) for _ in range(r.randint(1, 5)))
+        tokens = [m.span() for m in pii_crf.TOKEN.finditer(text)]
+        best = _best_score(model, text, tokens)
+        for found in (model.decode(text, tokens), model.decode(text, tokens, False)):
+            got, prev, at = 0.0, None, 0
+            plan = {i: (j, k) for i, j, k, _ in found}
+            while at < len(tokens):
+                j, k = plan.get(at, (at + 1, 0))
+                got += model.score(k, pii_crf.span_features(text, tokens, at, j)) + (model.w.get(f"{pii_crf.TYPES[prev]}>{pii_crf.TYPES[k]}", 0.0) if prev is not None else 0.0)
+                prev, at = k, j
+            assert abs(got - best) < 1e-6, text
+
+
+def test_stretches_lose_nothing():
+    model, loud = pii_crf.load(), pii_crf.load()
+    loud._calm = False  # decode everything
+    r = random.Random(4)
+    for n in range(25):
+        texts = [t for t, _ in pii_crf.made_sentences(2, seed=n)]
+        gap = " ".join(r.choice(["word", "(so", "+", "ABCDEFGHIJKLMNOPQRST", "x" * 300, "."]) for _ in range(r.randint(0, 40)))
+        text = f"{gap} {texts[0]} {gap} {texts[1]} {gap}"
+        assert [x[:3] for x in pii_crf.find(model, text)] == [x[:3] for x in pii_crf.find(loud, text)]
+    noisy = pii_crf.Model(model.w | {"SECRET|alpha": 50.0})
+    assert not noisy.calm() and pii_crf.find(noisy, "no trigger here")  # weights that see entities anywhere are heeded
 
 
 def test_held_out_entities_are_found():
