@@ -21,7 +21,8 @@ from ..functions.scoring import idf_weight, tf_absent, tf_weight
 from ..functions.text import DEFAULT_PATTERN, drop_stopwords, fill_empty, split_terms, tokenize
 from .staging import staged
 
-BUCKETS = 64
+#: buckets of the postings at least, and postings that a bucket is meant to hold
+BUCKETS, BUCKET_ROWS = 64, 20_000_000
 
 
 def term_frequencies(tokens: DataFrame) -> DataFrame:
@@ -77,7 +78,8 @@ class Index:
 
     @property
     def n_docs(self) -> int:
-        return self.stats.first()["n_docs"]
+        # of an index that isn't saved, the rows are counted without tokenising them
+        return self.stats.first()["n_docs"] if self.tf is None else self.docs.select("doc_id").count()
 
     def describe(self) -> DataFrame:
         """n_docs, n_terms, n_postings, postings_per_doc, avgdl."""
@@ -93,7 +95,9 @@ class Index:
         return replace(self, params=params, vocab=vocab, postings=postings, buckets=None, tf=tf)
 
     def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
-        """With more documents (of new ids): frequencies and lengths change, so all scores are derived anew from tf."""
+        """With more documents: frequencies and lengths change, so all scores are derived anew from tf. Ids that the index has raise ValueError."""
+        if not docs.select(F.col(id_col).alias("doc_id")).join(self.docs.select("doc_id"), "doc_id", "left_semi").isEmpty():
+            raise ValueError("documents to be added have ids that the index holds")
         new = tokenize(docs, text_col, id_col, **self.analysis)
         tf = (self.postings.select("term", "doc_id", "tf") if self.tf is None else self.tf).unionByName(term_frequencies(new))
         payload = docs.withColumnRenamed(id_col, "doc_id").join(document_lengths(new), "doc_id", "left")
@@ -107,8 +111,8 @@ class Index:
     def save(self, path: str) -> None:
         """Writes postings, vocab, docs and params; overwrites.
 
-        Texts are tokenised twice only, for the lengths and for the frequencies; both are staged, and
-        all else is computed from them. ``path`` must not be where this index was loaded from.
+        Texts are tokenised for the lengths, for the frequencies and for the documents' own column dl; the first two are staged, and
+        all else is computed from them. There are as many buckets as the postings need. ``path`` must not be where this index was loaded from.
         """
         if self.tf is not None:
             tf, lengths = staged(self.tf, "tf"), staged(self.docs.select("doc_id", "dl"), "lengths")
@@ -118,11 +122,13 @@ class Index:
             postings = score_postings(tf, lengths, vocab, stats, self.params)
         else:
             postings, vocab, row = self.postings.drop("term_bucket"), self.vocab, self.stats.first()
-        clustered = postings.withColumn("term_bucket", bucket_of(F.col("term"))).repartition("term_bucket")
+        rows = vocab.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+        buckets = max(BUCKETS, -(-rows // BUCKET_ROWS))
+        clustered = postings.withColumn("term_bucket", bucket_of(F.col("term"), buckets)).repartition("term_bucket")
         clustered.sortWithinPartitions("term_bucket", "term", "doc_id").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
         vocab.sort("term").write.mode("overwrite").parquet(f"{path}/vocab")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        meta = {"version": __version__, "params": self.params.to_dict(), "analysis": self.analysis, "buckets": BUCKETS} | row.asDict()
+        meta = {"version": __version__, "params": self.params.to_dict(), "analysis": self.analysis, "buckets": buckets} | row.asDict()
         self.docs.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
 
 

@@ -5,23 +5,25 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_PATTERN, drop_stopwords, split_terms, stem_lexicon
+from .staging import running_total
 
 
 def first_seen(tokens: DataFrame, empty_token: bool = False) -> DataFrame:
     """(term, term_id): ids from 0 in the order of first appearance by (doc_id, position).
 
-    The order is global, so one task numbers the vocabulary (not the tokens). With
+    The order is global; ids are running totals over ranges of it, so no task sees the whole vocabulary. With
     empty_token, "" takes id 0.
     """
     seen = tokens.select("doc_id", F.posexplode("terms").alias("pos", "term"))
     first = seen.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     if empty_token:
         first = first.where("term <> ''")
-    ids = first.select("term", (F.row_number().over(Window.orderBy("at")) - (0 if empty_token else 1)).cast("bigint").alias("term_id"))
+    places = running_total(first.select("term", F.col("at.doc_id").alias("d"), F.col("at.pos").alias("p")), ["d", "p"], name="place")
+    ids = places.select("term", (F.col("place") + (1 if empty_token else 0)).alias("term_id"))
     if empty_token:
         ids = ids.union(tokens.sparkSession.createDataFrame([("", 0)], "term string, term_id bigint"))
     return ids
@@ -29,8 +31,7 @@ def first_seen(tokens: DataFrame, empty_token: bool = False) -> DataFrame:
 
 def sorted_ids(tokens: DataFrame) -> DataFrame:
     """(term, term_id) without one task that sees all terms: sorted by range, numbered by partition offsets."""
-    terms = tokens.select(F.explode("terms").alias("term")).distinct().sort("term")
-    return terms.rdd.zipWithIndex().map(lambda x: (x[0].term, x[1])).toDF("term string, term_id bigint")
+    return running_total(tokens.select(F.explode("terms").alias("term")).distinct(), ["term"], name="term_id")
 
 
 def encode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -100,7 +101,8 @@ class Tokenizer:
                 new = order.groupBy("stem").agg(F.min("at").alias("at")).join(ids, "stem", "left_anti")
                 start = (ids.agg(F.max("term_id")).first()[0])
                 start = -1 if start is None else start
-                ids = ids.union(new.select("stem", (F.row_number().over(Window.orderBy("at")) + F.lit(start)).cast("bigint")))
+                places = running_total(new.select("stem", F.col("at.doc_id").alias("d"), F.col("at.pos").alias("p")), ["d", "p"], name="place")
+                ids = ids.union(places.select("stem", F.col("place") + F.lit(start + 1)))
             known = known.union(stems.join(ids, "stem").select(F.col("term").alias("word"), "stem", "term_id"))
             self.lexicon = known
         # words that are known stay, whether stopwords or not

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .index import Index, bucket_of
+from .index import Index, bucket_of, load_index
+from .staging import running_total
 
 TERM_LIMIT = 20_000
 #: rows (query, term) up to which the query side is broadcast
@@ -81,6 +82,16 @@ def check_mask(index: Index, mask: DataFrame) -> None:
         raise ValueError("the mask has documents that the index lacks")
 
 
+def check_ids(index: Index, queries: DataFrame) -> None:
+    """Queries of term ids, not strings, stay within the ids of the vocabulary."""
+    if dict(queries.dtypes)["terms"] == "array<string>":
+        return
+    asked = queries.select(F.explode("terms").cast("bigint").alias("t")).agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    most = index.vocab.agg(F.max(F.expr("try_cast(term AS BIGINT)"))).first()[0]
+    if asked.a is not None and (asked.a < 0 or most is None or asked.b > most):
+        raise ValueError(f"query ids lie between {asked.a} and {asked.b}; those of the index end at {most}")
+
+
 def score_all(index: Index, queries: DataFrame, mask: DataFrame | None = None, mask_mode: str = "pre") -> DataFrame:
     """(query_id, doc_id, score) for every pair: the dense result. It grows with queries times documents."""
     qtf = query_terms(queries)
@@ -92,13 +103,15 @@ def score_all(index: Index, queries: DataFrame, mask: DataFrame | None = None, m
     return out.withColumn("score", F.col("score").cast("float")) if index.params.dtype == "float32" else out
 
 
-def retrieve(index: Index, queries: DataFrame, k: int = 10, mask: DataFrame | None = None, mask_mode: str = "pre", fill: bool = True, payload: bool = False, check: bool = True) -> DataFrame:
+def retrieve(index: Index, queries: DataFrame, k: int = 10, mask: DataFrame | None = None, mask_mode: str = "pre", fill: bool = True, payload: bool = False, check: bool = True, sorted: bool = True) -> DataFrame:
     """The k best documents of each query: (query_id, rank, doc_id, score), and the payload.
 
     queries(query_id, terms). Ties go to the lesser doc_id. With fill, documents that score
     no more than the constant fill a query up to k. mask(doc_id, weight) multiplies scores:
     "pre" before the constant of the shifted methods is added, "post" after; documents it doesn't name weigh 1.
-    check: ask the index whether k exceeds its documents.
+    check: ask the index whether k exceeds its documents, whether the mask is sound (:func:`check_mask`) and whether term ids
+    are in its range (:func:`check_ids`). Without it, a mask must name a document once and weigh none below zero.
+    sorted: with False the k best come without ranks, for those who need the set only.
     """
     if k < 0:
         raise ValueError("k must not be negative")
@@ -106,6 +119,10 @@ def retrieve(index: Index, queries: DataFrame, k: int = 10, mask: DataFrame | No
         raise ValueError(f"unknown mask_mode {mask_mode!r}")
     if check and k > index.n_docs:
         raise ValueError(f"k = {k} exceeds the {index.n_docs} documents of the index")
+    if check:
+        check_ids(index, queries)
+        if mask is not None:
+            check_mask(index, mask)
     qtf = query_terms(queries)
     const = constants(index, qtf) if index.params.shifted else None
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
@@ -132,7 +149,7 @@ def retrieve(index: Index, queries: DataFrame, k: int = 10, mask: DataFrame | No
     ranked = scored.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
     if index.params.dtype == "float32":
         ranked = ranked.withColumn("score", F.col("score").cast("float"))
-    out = ranked.select("query_id", "rank", "doc_id", "score")
+    out = ranked.select("query_id", *(["rank"] if sorted else []), "doc_id", "score")
     return with_payload(out, index) if payload else out
 
 
@@ -141,6 +158,19 @@ def with_payload(results: DataFrame, index: Index) -> DataFrame:
     return results.join(index.docs.drop("dl"), "doc_id")
 
 
+def retrieve_batches(path: str, queries: DataFrame, out: str, k: int = 10, size: int = 100_000, **options: object) -> DataFrame:
+    """:func:`retrieve` for ``size`` queries at a time against the index saved at ``path``, opened anew for each batch, so that nothing of one batch stays for the next.
+
+    Results are added to the Parquet folder ``out``, which is read and returned.
+    """
+    spark = queries.sparkSession
+    numbered = running_total(queries, ["query_id"], name="turn")
+    for b in range(-(-numbered.count() // size)):
+        own = numbered.where((F.col("turn") >= b * size) & (F.col("turn") < (b + 1) * size)).drop("turn")
+        retrieve(load_index(spark, path), own, k, **options).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
 def merge_results(parts: list[DataFrame]) -> DataFrame:
     """Results of several batches end to end; query ids must be distinct already."""
     out = parts[0]

@@ -13,8 +13,15 @@ from pyspark.sql import types as T
 
 def _numbered(df: DataFrame, order: str | None = None) -> DataFrame:
     """Adds doc_id 0.. in the order of the file: of splits, and of rows within them."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType(), False), *df.schema.fields])
-    return df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(schema)
+    # the number holds the split in its upper bits; a row a split comes to the driver
+    placed = df.select(F.monotonically_increasing_id().alias("at_"), *[f"`{c}`" for c in df.columns])
+    offsets, total = [], 0
+    for r in placed.groupBy(F.shiftright("at_", 33).alias("split_")).count().orderBy("split_").collect():
+        offsets.append((r["split_"], total))
+        total += r["count"]
+    shift = F.broadcast(df.sparkSession.createDataFrame(offsets, "split_ bigint, shift_ bigint"))
+    doc_id = F.col("at_").bitwiseAND((1 << 33) - 1) + F.col("shift_")
+    return placed.join(shift, F.shiftright("at_", 33) == F.col("split_")).select(doc_id.alias("doc_id"), *[f"`{c}`" for c in df.columns])
 
 
 def _pick(df: DataFrame, column: str | None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tarnwood.functions.params import METHODS, RankParams
 from tarnwood.operators import index as ix
 from tarnwood.operators import retrieve as rt
+from tarnwood.operators.staging import running_total
+from tarnwood.timing import Timer, peak_memory_mb
 from tarnwood.operators.metrics import evaluate, judged_queries, metric_cutoff
 
 ANIMALS = ["a cat is a feline and likes to purr", "a dog is the human's best friend and loves to play", "a bird is a beautiful animal that can fly", "a fish is a creature that lives in water and swims"]
@@ -163,3 +165,47 @@ def test_metrics(spark):
     assert got[1].ndcg == 0.5 and got[1].precision == 0.5 and got[1].recall == 0.25
     assert got[3].ndcg == pytest.approx(ndcg / 2, abs=1e-5) and got[3].map == pytest.approx((1 + 2 / 3) / 2 / 2, abs=1e-5) and got[3].recall == 0.5
     assert judged_queries(results, qrels).select("query_id").distinct().count() == 2 and metric_cutoff("NDCG@10") == "10"
+
+
+def test_masks_and_ids_are_checked_in_the_call(spark, docs):
+    index, asked = ix.build_index(docs), ask(spark, ["cat"])
+    for rows in ([(0, 1.0), (0, 2.0)], [(99, 1.0)]):
+        with pytest.raises(ValueError):
+            rt.retrieve(index, asked, 1, spark.createDataFrame(rows, "doc_id bigint, weight double"))
+    ids = ix.build_index_from_terms(spark.createDataFrame([(0, [0, 1]), (1, [2])], "doc_id bigint, terms array<bigint>"))
+    for bad in ([3], [-1], [0, 7]):
+        with pytest.raises(ValueError):
+            rt.retrieve(ids, spark.createDataFrame([(0, bad)], "query_id bigint, terms array<bigint>"), 1)
+    assert rt.to_matrix(rt.retrieve(ids, spark.createDataFrame([(0, [2])], "query_id bigint, terms array<bigint>"), 1))[0] == [[1]]
+    with pytest.raises(ValueError):
+        index.append(docs.limit(1))
+
+
+def test_unsorted_and_batched_results(spark, docs, tmp_path):
+    index = ix.build_index(docs)
+    asked = ask(spark, ["cat"], ["fish"], ["bird", "cat"])
+    whole = rt.retrieve(index, asked, 2)
+    loose = rt.retrieve(index, asked, 2, sorted=False)
+    assert loose.columns == ["query_id", "doc_id", "score"] and sorted(loose.collect()) == sorted(whole.drop("rank").collect())
+    index.save(f"{tmp_path}/index")
+    got = rt.retrieve_batches(f"{tmp_path}/index", asked, f"{tmp_path}/out", 2, size=2)
+    assert sorted(map(str, got.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
+def test_running_total(spark):
+    rows = [(i % 7, i, (i * 37) % 11) for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b bigint, v bigint").repartition(5)
+    total, want = 0, {}
+    for a, b, v in sorted(rows):
+        want[a, b] = total
+        total += v
+    assert {(r.a, r.b): r.before for r in running_total(df, ["a", "b"], "v").collect()} == want
+    assert running_total(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_timer():
+    t = Timer()
+    for _ in range(2):
+        with t.step("a"):
+            pass
+    assert t.report()[0][:2] == ("a", 2) and peak_memory_mb() > 1
