@@ -86,7 +86,7 @@ def check_ids(index: Index, queries: DataFrame) -> None:
     """Queries of term ids, not strings, stay within the ids of the vocabulary."""
     if dict(queries.dtypes)["terms"] == "array<string>":
         return
-    asked = queries.select(F.explode("terms").cast("bigint").alias("t")).agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    asked = queries.select(F.explode(F.col("terms").cast("array<bigint>")).alias("t")).agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
     most = index.vocab.agg(F.max(F.expr("try_cast(term AS BIGINT)"))).first()[0]
     if asked.a is not None and (asked.a < 0 or most is None or asked.b > most):
         raise ValueError(f"query ids lie between {asked.a} and {asked.b}; those of the index end at {most}")
