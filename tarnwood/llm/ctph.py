@@ -8,7 +8,7 @@ that documents whose block sizes differ by a factor of two can be compared.
 
 Signatures are candidates if they share seven neighbouring characters at one block size, and are
 scored by edit distance (insertions and deletions), bit-parallel over all candidates. A pair that shares several such
-grams is scored where the least of them meets, so once; what leaves a task are each text's number of partners, its
+grams counts where the least of them meets, so once; what leaves a task are each text's number of partners, its
 best one and a forest that links them, not the pairs. A gram of many texts is cut into parts whose pairs are tasks.
 """
 
@@ -222,13 +222,17 @@ def _score(t: pa.Table, threshold: int) -> pa.RecordBatch:
         x, y = order[x], order[y]
         ok = (g[x] == g[y]) & ((part[x] != part[y]) | (i_part[x] == j_part[x])) & (member[x] != member[y])
         x, y = x[ok], y[ok]
-        new = ~_meets_earlier(held, member[x], member[y], g[x].view(np.uint64))
-        i, j = member[x[new]], member[y[new]]
+        # each pair of the piece once, with the least gram that it shares here
+        code, met = member[x] * len(names) + member[y], g[x].view(np.uint64)
+        by = np.lexsort((met, code))
+        by = by[np.append(True, code[by][1:] != code[by][:-1])] if len(by) else by
+        i, j, met = code[by] // len(names), code[by] % len(names), met[by]
         value = np.zeros(len(i), np.int64)
         for same, p, q in ((block[i] == block[j], one, one), (block[i] == block[j], two, two), (block[i] == 2 * block[j], one, two), (block[j] == 2 * block[i], two, one)):
             w = np.flatnonzero(same)
             value[w] = np.maximum(value[w], alike(p, q, i[w], j[w]))
-        w = value >= threshold
+        w = np.flatnonzero(value >= threshold)
+        w = w[~_meets_earlier(held, i[w], j[w], met[w])]  # it counts where its least gram is
         a.append(i[w])
         b.append(j[w])
         score.append(value[w])
