@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import fresh_path, shared_dir
+from ..operators.staging import fresh_path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a table written under :func:`shared_dir`."""
+    """Delete a table written by :func:`written`."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
@@ -30,12 +30,6 @@ def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` with the session's shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_hash(text: Column) -> Column:
     """With the id this names a document: ids may repeat with other texts."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -104,16 +98,23 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): (node, root), the root being the least node.
 
-    Each round takes the least root among neighbours and then the root of that root, so
-    long chains take a logarithmic number of rounds; copies of one original take two.
+    Each round, a node's greater neighbours move to the least of it and its neighbours (large star), then a node's
+    lesser neighbours and itself move to the least of those (small star), until every component is a star around
+    its least node. Chains, whatever the order of their ids, take about the logarithm of their length in rounds. Each round
+    is written, as a plan that carries its estimated size from round to round doubles the digits of that number.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")), "edges")
-    roots = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    while True:
-        near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        step = roots.join(near, roots.node == near.a).select("node", F.least("root", "m").alias("next"), F.col("root").alias("was"))
-        up = roots.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        step = checkpointed(step.join(up, F.col("next") == F.col("n2"), "left").select("node", "was", F.least("next", F.coalesce("r2", "next")).alias("root")))
-        roots = step.select("node", "root")
-        if step.where("root <> was").isEmpty():
-            return roots
+    pairs = written(edges.select("a", "b"), "edges")
+    stars = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    stars = written(stars.withColumn("moved", F.lit(True)), "stars")
+    while not stars.where("moved").isEmpty():
+        links = stars.select("a", "b")
+        least = links.union(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m"))
+        large = links.join(least, F.col("b") == F.col("node")).groupBy("a", F.col("m").alias("b")).agg(F.max(F.col("m") < F.col("b")).alias("moved"))
+        large = written(large, "stars")
+        first = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.max("moved").alias("moved"))
+        others = large.select("a", "b").join(first.select("node", "m"), F.col("a") == F.col("node")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
+        small = first.select(F.col("node").alias("a"), F.col("m").alias("b"), "moved").union(others)
+        stars = written(small.groupBy("a", "b").agg(F.max("moved").alias("moved")), "stars")
+    found = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    alone = pairs.where("a = b").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return written(found.union(stars.select("b", "b")).union(alone).groupBy("node").agg(F.min("root").alias("root")), "roots")

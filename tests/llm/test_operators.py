@@ -152,6 +152,17 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+
+def test_components_in_any_order(spark):
+    ids = random.Random(5).sample(range(-(10**12), 10**12), 120)
+    rows = list(zip(ids[:80], ids[1:81])) + [(x, ids[90]) for x in ids[91:]] + [(7, 7), (ids[0], ids[0]), (ids[1], ids[0])]
+    out = components(spark.createDataFrame(rows, "a bigint, b bigint"))
+    # a size estimate whose digits double each round fills the driver
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
+    got = [(r.node, r.root) for r in out.collect()]
+    assert sorted(got) == sorted([(x, min(ids[:81])) for x in ids[:81]] + [(x, min(ids[90:])) for x in ids[90:]] + [(7, 7)])
+
+
 def test_mix(docs):
     assert bag(listed(mixing.mix(docs, keep=True, block_docs=4))) == bag(brute.mix(listed(docs), block_docs=4))
     tokens = {r.source: r.t for r in mixing.mix(docs, max_repeats=None, budget=3000, block_docs=4).groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
