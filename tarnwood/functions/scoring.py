@@ -12,6 +12,13 @@ def _num(x: float) -> Column:
     return F.lit(float(x))
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """To so many digits, halves of the scaled double away from zero as in C and SQL engines; round() of Spark goes through decimal strings, row by row."""
+    c = F.col(c) if isinstance(c, str) else c
+    scale = _num(10.0**digits)
+    return F.signum(c) * F.floor(F.abs(c) * scale + _num(0.5)) / scale
+
+
 def tf_weight(p: RankParams, tf: Column, length: Column, mean: Column) -> Column:
     """The saturated frequency of a term in a document of this length."""
     k1, b, d = _num(p.k1), _num(p.b), _num(p.delta)

@@ -37,6 +37,19 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def token_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_000_000) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """doc_id and the lists of ``column``, about ``most`` tokens or one row at a time."""
+    for b in batches:
+        ids, lists = b.column("doc_id"), b.column(column)
+        ends = np.cumsum(np.diff(lists.offsets.to_numpy()))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield ids.slice(at, stop - at), lists.slice(at, stop - at)
+            at = stop
+
+
 def running_total(df: DataFrame, order: list[str], value: str | None = None, name: str = "before") -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` (or the count) over all rows that precede in ``order``, without one task that sees all.
 
