@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.params import RankParams
 from ..functions.text import tokenize
-from ..operators.index import Index, index_terms, term_frequencies
+from ..operators.index import Index, document_lengths, index_terms, term_rows
 from ..operators.retrieve import analyse_queries, retrieve
 from ..operators.staging import fresh_path
 
@@ -34,12 +34,10 @@ def stream_tokens(docs: DataFrame, **analysis: object) -> DataFrame:
 def stream_term_counts(docs: DataFrame, **analysis: object) -> DataFrame:
     """(term, df, tf): documents that hold a term, and its occurrences, so far.
 
-    A document arrives once and in one row, so its distinct terms are taken within the row and the
+    A document arrives once and in one row, so its terms are counted within the row and the
     only state is a row a term.
     """
-    terms = tokenize(docs, **analysis).select(F.explode(F.array_distinct("terms")).alias("term"), "terms")
-    times = F.size(F.filter("terms", lambda t: t == F.col("term")))
-    return terms.select("term", times.alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    return term_rows(tokenize(docs, **analysis)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def windowed_counts(events: DataFrame, time_col: str, key_col: str, window: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -52,17 +50,16 @@ def windowed_counts(events: DataFrame, time_col: str, key_col: str, window: str
 
 
 def ingest(docs: DataFrame, path: str, checkpoint: str, **analysis: object) -> StreamingQuery:
-    """Appends the postings (term, doc_id, tf) and lengths of arriving documents under ``path``.
+    """Appends the postings (term, doc_id, tf, dl) and lengths of arriving documents under ``path``.
 
     Scores depend on the whole corpus and are derived when the index is opened. A batch is
     written to a folder of its own number, so that a repeated batch replaces itself.
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        tokens = tokenize(batch, **analysis).persist()
-        term_frequencies(tokens).write.mode("overwrite").parquet(f"{path}/tf/batch={number}")
-        tokens.select("doc_id", F.size("terms").cast("bigint").alias("dl")).write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
-        tokens.unpersist()
+        tokens = tokenize(batch, **analysis)
+        term_rows(tokens).write.mode("overwrite").parquet(f"{path}/tf/batch={number}")
+        document_lengths(tokens).write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
 
     return docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
