@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 
 def evaluate(qrels: DataFrame, results: DataFrame, k_values: Sequence[int] = (1, 3, 5, 10, 100), ignore_identical_ids: bool = True) -> DataFrame:
     """(k, ndcg, map, recall, precision), means over queries in both tables, rounded to 5 digits.
@@ -20,21 +22,26 @@ def evaluate(qrels: DataFrame, results: DataFrame, k_values: Sequence[int] = (1,
     results = results.join(qrels.select("query_id").distinct(), "query_id", "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     most = max(k_values)
-    ranked = results.select("query_id", "doc_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= most)
-    judged = ranked.join(qrels.select("query_id", "doc_id", F.col("rel").cast("double").alias("rel")), ["query_id", "doc_id"], "left")
+    ranked = staged(results.select("query_id", "doc_id", F.row_number().over(order).alias("rank")).where(F.col("rank") <= most), "ranked")
+    # the ranked are k a query, so they go to the judgements and not the judgements to them
+    own = qrels.select("query_id", "doc_id", F.col("rel").cast("double").alias("rel")).join(F.broadcast(ranked.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
+    judged = ranked.join(own, ["query_id", "doc_id"], "left")
     so_far = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hit = F.when(F.col("rel") > 0, 1.0).otherwise(0.0)
     judged = judged.withColumn("hit", hit).withColumn("p", F.sum("hit").over(so_far) / F.col("rank"))
     log2 = lambda c: F.log2(c + F.lit(1.0))
     gain = F.greatest(F.coalesce("rel", F.lit(0.0)), F.lit(0.0)) / log2(F.col("rank"))
-    best = Window.partitionBy("query_id").orderBy(F.col("rel").desc(), "doc_id")
-    ideal = qrels.where("rel > 0").select("query_id", F.col("rel").cast("double").alias("rel"), F.row_number().over(best).alias("rank"))
+    # the ideal ranking has equal gains side by side: counts of each are enough
+    before = Window.partitionBy("query_id").orderBy(F.col("rel").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gains = qrels.where("rel > 0").groupBy("query_id", F.col("rel").cast("double").alias("rel")).agg(F.count("*").alias("n"))
+    gains = gains.withColumn("stop", F.sum("n").over(before)).withColumn("start", F.col("stop") - F.col("n") + 1)
+    ideal = gains.select("query_id", "rel", "n", "start", F.explode_outer(F.when(F.col("start") <= most, F.sequence("start", F.least("stop", F.lit(most).cast("bigint"))))).alias("rank"))
     per_query = judged.groupBy("query_id").agg(*[x for k in k_values for x in (
         F.sum(F.when(F.col("rank") <= k, gain).otherwise(0.0)).alias(f"dcg{k}"),
         F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0.0)).alias(f"hits{k}"),
         F.sum(F.when(F.col("rank") <= k, F.col("hit") * F.col("p")).otherwise(0.0)).alias(f"ap{k}"),
     )])
-    possible = ideal.groupBy("query_id").agg(F.count("*").alias("relevant"), *[F.sum(F.when(F.col("rank") <= k, F.col("rel") / log2(F.col("rank"))).otherwise(0.0)).alias(f"idcg{k}") for k in k_values])
+    possible = ideal.groupBy("query_id").agg(F.sum(F.when(F.coalesce("rank", "start") == F.col("start"), F.col("n"))).alias("relevant"), *[F.sum(F.when(F.col("rank") <= k, F.col("rel") / log2(F.col("rank"))).otherwise(0.0)).alias(f"idcg{k}") for k in k_values])
     both = per_query.join(possible, "query_id", "left")
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     rel = F.coalesce(F.col("relevant"), F.lit(0)).cast("double")
