@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.chunks import chunked, translated
 from . import stemmer as _stemmer
 from .stopwords import stopword_list
 
@@ -97,10 +98,9 @@ def stem_lexicon(words: DataFrame, stemmer: object, word: str = "term", many: bo
 
 def stem_terms(tokens: DataFrame, stemmer: object, many: bool = True) -> DataFrame:
     """tokens(doc_id, terms) with each term replaced by its stem, order kept."""
-    each = tokens.select("doc_id", F.posexplode("terms").alias("pos", "term"))
-    stems = stem_lexicon(each, stemmer, many=many)
-    joined = each.join(stems, "term").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "stem"))), lambda x: x.stem).alias("stems"))
-    return tokens.join(joined, "doc_id", "left").withColumn("terms", F.coalesce("stems", F.array().cast("array<string>"))).drop("stems")
+    chunks = chunked(tokens)
+    stems = stem_lexicon(chunks.entries, stemmer, "value", many).select(F.col("term").alias("value"), F.col("stem").alias("out"))
+    return translated(chunks, chunks.entries.join(stems, "value"), "terms")
 
 
 def tokenize(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", pattern: str | Callable = DEFAULT_PATTERN, lower: bool = True, stopwords: str | bool | Sequence[str] | None = None, stemmer: object = None, empty: str = "keep_empty") -> DataFrame:

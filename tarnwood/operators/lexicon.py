@@ -9,47 +9,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_PATTERN, drop_stopwords, split_terms, stem_lexicon
+from .chunks import Chunks, chunked, translated
 from .staging import running_total
 
 
-def first_seen(tokens: DataFrame, empty_token: bool = False) -> DataFrame:
+def _chunks(tokens: DataFrame | Chunks, column: str = "terms") -> Chunks:
+    return tokens if isinstance(tokens, Chunks) else chunked(tokens, column)
+
+
+def first_seen(tokens: DataFrame | Chunks, empty_token: bool = False) -> DataFrame:
     """(term, term_id): ids from 0 in the order of first appearance by (doc_id, position).
 
     The order is global; ids are running totals over ranges of it, so no task sees the whole vocabulary. With
     empty_token, "" takes id 0.
     """
-    seen = tokens.select("doc_id", F.posexplode("terms").alias("pos", "term"))
-    first = seen.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+    first = _chunks(tokens).entries.groupBy(F.col("value").alias("term")).agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     if empty_token:
         first = first.where("term <> ''")
     places = running_total(first.select("term", F.col("at.doc_id").alias("d"), F.col("at.pos").alias("p")), ["d", "p"], name="place")
     ids = places.select("term", (F.col("place") + (1 if empty_token else 0)).alias("term_id"))
     if empty_token:
-        ids = ids.union(tokens.sparkSession.createDataFrame([("", 0)], "term string, term_id bigint"))
+        ids = ids.union(ids.sparkSession.createDataFrame([("", 0)], "term string, term_id bigint"))
     return ids
 
 
-def sorted_ids(tokens: DataFrame) -> DataFrame:
+def sorted_ids(tokens: DataFrame | Chunks) -> DataFrame:
     """(term, term_id) without one task that sees all terms: sorted by range, numbered by partition offsets."""
-    return running_total(tokens.select(F.explode("terms").alias("term")).distinct(), ["term"], name="term_id")
+    return running_total(_chunks(tokens).entries.select(F.col("value").alias("term")).distinct(), ["term"], name="term_id")
 
 
-def encode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+def encode(tokens: DataFrame | Chunks, vocab: DataFrame) -> DataFrame:
     """(doc_id, ids) in token order; unknown terms are dropped, repeats stay, empty documents too."""
-    each = tokens.select("doc_id", F.posexplode("terms").alias("pos", "term")).join(vocab.select("term", "term_id"), "term")
-    ids = each.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term_id"))), lambda x: x.term_id).alias("ids"))
-    return tokens.select("doc_id").join(ids, "doc_id", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    chunks = _chunks(tokens)
+    known = vocab.select(F.col("term").alias("value"), F.col("term_id").cast("bigint").alias("out"))
+    return translated(chunks, chunks.entries.join(known, "value"), "ids")
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, strict: bool = True) -> DataFrame:
     """(doc_id, terms) of encoded(doc_id, ids); an id that the vocabulary lacks raises, or is dropped."""
-    each = encoded.select("doc_id", F.posexplode("ids").alias("pos", "term_id")).join(vocab.select("term", "term_id"), "term_id", "left")
+    chunks = chunked(encoded, "ids")
+    each = chunks.entries.join(vocab.select(F.col("term_id").alias("value"), F.col("term").alias("out")), "value", "left" if strict else "inner")
     if strict:
-        each = each.withColumn("term", F.when(F.col("term").isNull(), F.raise_error(F.concat(F.lit("unknown term id "), F.col("term_id").cast("string")))).otherwise(F.col("term")))
-    else:
-        each = each.where("term is not null")
-    terms = each.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x.term).alias("terms"))
-    return encoded.select("doc_id").join(terms, "doc_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+        each = each.withColumn("out", F.when(F.col("out").isNull(), F.raise_error(F.concat(F.lit("unknown term id "), F.col("value").cast("string")))).otherwise(F.col("out")))
+    return translated(chunks, each, "terms")
 
 
 @dataclass
@@ -73,11 +75,10 @@ class Tokenizer:
     def reset_vocab(self) -> None:
         self.lexicon = None
 
-    def _words(self, docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-        """Every word, before stopwords, with whether it is one."""
-        raw = split_terms(F.col(text_col), self.pattern, self.lower)
+    def _words(self, chunks: Chunks) -> DataFrame:
+        """Every word of a chunk, before stopwords, with whether it is one and where it is first."""
         kept = drop_stopwords(F.array("word"), self.stopwords)
-        return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(raw).alias("pos", "word")).withColumn("stop", F.size(kept) == 0)
+        return chunks.entries.select(F.col("value").alias("word"), "doc_id", "pos").withColumn("stop", F.size(kept) == 0)
 
     def tokenize(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", update: bool | str = "if_empty", return_as: str = "ids", allow_empty: bool = True) -> DataFrame:
         """(doc_id, ids), or (doc_id, terms) with return_as "string".
@@ -88,7 +89,8 @@ class Tokenizer:
             raise ValueError(f"unknown update mode {update!r}")
         if return_as not in ("ids", "string"):
             raise ValueError(f"unknown return_as {return_as!r}")
-        words = self._words(docs, text_col, id_col)
+        chunks = chunked(docs.select(F.col(id_col).alias("doc_id"), split_terms(F.col(text_col), self.pattern, self.lower).alias("terms")))
+        words = self._words(chunks)
         if update == "if_empty":
             update = self.lexicon is None
         known = self.lexicon if self.lexicon is not None else self.spark.createDataFrame([("", "", 0)] if allow_empty else [], "word string, stem string, term_id bigint")
@@ -107,11 +109,10 @@ class Tokenizer:
             self.lexicon = known
         # words that are known stay, whether stopwords or not
         value = "term_id" if return_as == "ids" else "stem"
-        kept = words.join(known, "word").groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", value))), lambda x: x[value]).alias("out"))
-        out = docs.select(F.col(id_col).alias("doc_id")).join(kept, "doc_id", "left")
+        name = "ids" if return_as == "ids" else "terms"
+        out = translated(chunks, chunks.entries.join(known.select(F.col("word").alias("value"), F.col(value).alias("out")), "value"), name)
         none = F.array(F.lit(0).cast("bigint")) if return_as == "ids" else F.array(F.lit(""))
-        empty = none if allow_empty else F.array().cast("array<bigint>" if return_as == "ids" else "array<string>")
-        return out.select("doc_id", F.coalesce("out", empty).alias("ids" if return_as == "ids" else "terms"))
+        return out.withColumn(name, F.when(F.size(name) == 0, none).otherwise(F.col(name))) if allow_empty else out
 
     def vocab(self) -> DataFrame:
         """(term, term_id)."""

@@ -92,12 +92,12 @@ def vocab_first_seen(spark, d):
 
 
 def encode_ids(spark, d):
-    t = _tokens(spark, d)
+    t = lx.chunked(_tokens(spark, d))
     return lx.encode(t, lx.first_seen(t)).select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 def decode_ids(spark, d):
-    t = _tokens(spark, d)
+    t = lx.chunked(_tokens(spark, d))
     vocab = lx.sorted_ids(t)
     return lx.decode(lx.encode(t, vocab), vocab).select("doc_id", F.size("terms").cast("bigint").alias("n_terms"), F.array_join("terms", " ").alias("terms"))
 

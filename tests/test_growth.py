@@ -82,3 +82,20 @@ def test_judgements_are_not_sorted(spark):
     assert "WindowGroupLimit" not in plan(got)
     rows = {r.k: r for r in got.collect()}
     assert rows[10].precision == pytest.approx(sum(sum(d % 4 > 0 for d in [x for x in range(q, 60, 3) if x != q][:10]) for q in range(3)) / 30, abs=1e-5)
+
+
+def test_tokens_are_translated_in_chunks(spark):
+    from tarnwood.operators import lexicon as lx
+
+    words = [[f"w{(i * j) % 11}" for j in range(i)] + ["odd"] * (i == 3) for i in range(12)]
+    tokens = spark.createDataFrame([(11 - i, w) for i, w in enumerate(words)], "doc_id bigint, terms array<string>").repartition(3)
+    seen = {}
+    for _, w in sorted((11 - i, w) for i, w in enumerate(words)):
+        for x in w:
+            seen.setdefault(x, len(seen))
+    vocab = lx.first_seen(tokens)
+    assert {r.term: r.term_id for r in vocab.collect()} == seen
+    ids = lx.encode(tokens, vocab.where("term <> 'odd'"))
+    assert "FlatMapCoGroupsInArrow" in plan(ids)  # and no row a token
+    assert {r.doc_id: r.ids for r in ids.collect()} == {11 - i: [seen[x] for x in w if x != "odd"] for i, w in enumerate(words)}
+    assert {r.doc_id: r.terms for r in lx.decode(ids, vocab).collect()} == {11 - i: [x for x in w if x != "odd"] for i, w in enumerate(words)}
