@@ -47,6 +47,8 @@ def test_blocks_of_queries(spark, docs, monkeypatch):
     monkeypatch.setattr(rt, "ROW_LIMIT", 10)
     monkeypatch.setattr(rt, "BLOCKS", 2)
     monkeypatch.setattr(rt, "PAIRS", 50)
+    monkeypatch.setattr(rt, "TASKS", 2)
+    monkeypatch.setattr(rt, "SHARE", 2)
     assert rt.to_matrix(rt.retrieve(index, asked, 5)) == whole and sorted(rt.score_all(index, asked).collect()) == dense
 
 
