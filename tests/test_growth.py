@@ -101,3 +101,17 @@ def test_tokens_are_translated_in_chunks(spark):
     assert "FlatMapCoGroupsInArrow" in plan(ids)  # and no row a token
     assert {r.doc_id: r.ids for r in ids.collect()} == {11 - i: [seen[x] for x in w if x != "odd"] for i, w in enumerate(words)}
     assert {r.doc_id: r.terms for r in lx.decode(ids, vocab).collect()} == {11 - i: [x for x in w if x != "odd"] for i, w in enumerate(words)}
+
+
+def test_all_pairs_of_vectors(spark, monkeypatch):
+    import numpy as np
+    from tarnwood.llm import e8
+
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((6, 16))
+    x = np.concatenate([c + 0.21 * rng.standard_normal((40, 16)) for c in centre])
+    monkeypatch.setattr(e8, "ALL_ROWS", 50)
+    got = {r.vec_id: r.links for r in e8.similar_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"), exact=True).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert want.sum() > 500 and [got[i] for i in range(len(x))] == want.tolist()
